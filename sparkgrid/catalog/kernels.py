@@ -135,7 +135,7 @@ def _j4c(spark, sf):
 
 @query("r7_boundary_weights", with_sql("cells_wk") + f""", {taps_sql(K35)},
 im AS (SELECT z, y, x FROM cells_wk), box AS (SELECT DISTINCT y - dy AS y, x - dx AS x FROM im, k),
-m AS (SELECT b.y, b.x, sum(w) AS m FROM box b, k JOIN im ON im.y = b.y + k.dy AND im.x = b.x + k.dx GROUP BY ALL)
+m AS (SELECT b.y, b.x, sum(w) AS m FROM box b CROSS JOIN k JOIN im ON im.y = b.y + k.dy AND im.x = b.x + k.dx GROUP BY ALL)
 SELECT y, x, round(CASE WHEN m > 0.01 THEN 1 / m ELSE 0 END, 6) AS w FROM m""")
 def _r7(spark, sf):
     dims = extents(fx.cells_wk(spark, sf))

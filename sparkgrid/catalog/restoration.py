@@ -1 +1,188 @@
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkgrid import fixtures as fx
+from sparkgrid.catalog import query
+from sparkgrid.catalog.kernels import K35, taps_sql
+from sparkgrid.catalog.statistics import LOW
+from sparkgrid.catalog.windows import filter_sql, grad_pen_sql, tv_sql
+from sparkgrid.core import rnd
+from sparkgrid.fixtures import with_sql
+from sparkgrid.operators.stencil import gaussian_weights
+from sparkgrid.plans import restore as rs
+
+
+def start_sql(fixture: str, taps, offset: float = 5.0, x0: str = "greatest(q.mean, q.bg)") -> str:
+    """CTEs up to ``s0``: observed image, background, work box, weights, start."""
+    return with_sql(fixture) + LOW(fixture, 0.1) + f""",
+{taps_sql(taps)},
+par AS (SELECT a.img, a.c, greatest(a.bg, 1e-6) + {offset} AS bg, b.mean FROM
+  (SELECT img, c, quantile_disc(v, 0.5) AS bg FROM low GROUP BY img, c) a JOIN
+  (SELECT img, c, avg(v + {offset}) AS mean FROM {fixture} GROUP BY img, c) b USING (img, c)),
+im AS MATERIALIZED (SELECT s.img, s.c, s.z, s.y, s.x, s.v + {offset} AS d, q.bg FROM {fixture} s JOIN par q USING (img, c)),
+box AS MATERIALIZED (SELECT DISTINCT img, c, z - dz AS z, y - dy AS y, x - dx AS x FROM im, k),
+ef AS MATERIALIZED (SELECT i.*, i.z - k.dz AS jz, i.y - k.dy AS jy, i.x - k.dx AS jx, k.w FROM im i, k),
+eb AS MATERIALIZED (SELECT b.*, b.z + k.dz AS jz, b.y + k.dy AS jy, b.x + k.dx AS jx, k.w FROM box b, k),
+ms AS (SELECT b.img, b.c, b.z, b.y, b.x, sum(b.w) AS m FROM eb b JOIN im ON im.img = b.img AND im.c = b.c
+  AND im.z = b.jz AND im.y = b.jy AND im.x = b.jx GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT b.img, b.c, b.z, b.y, b.x, CASE WHEN m > 0.01 THEN 1 / m ELSE 0 END AS w, q.bg, im.d,
+  {x0} AS xp, {x0} AS xc FROM box b JOIN par q USING (img, c) LEFT JOIN ms USING (img, c, z, y, x)
+  LEFT JOIN im USING (img, c, z, y, x))"""
+
+
+def data_sql(k: int, damp: str = "corr") -> str:
+    """CTE ``u{k}``: momentum, forward sum, ratio, adjoint sum -> raw update."""
+    a = rs.momentum_weight(k)
+    return f""",
+p{k} AS MATERIALIZED (SELECT *, greatest(xc + {a!r} * (xc - xp), bg) AS p FROM s{k - 1}),
+r{k} AS MATERIALIZED (SELECT i.img, i.c, i.z, i.y, i.x, any_value(i.d) / greatest(sum(p.p * i.w), any_value(i.bg)) AS r
+  FROM ef i JOIN p{k} p ON p.img = i.img AND p.c = i.c AND p.z = i.jz AND p.y = i.jy AND p.x = i.jx
+  GROUP BY i.img, i.c, i.z, i.y, i.x),
+c{k} AS (SELECT b.img, b.c, b.z, b.y, b.x, sum(r.r * b.w) AS corr FROM eb b JOIN r{k} r ON r.img = b.img AND r.c = b.c
+  AND r.z = b.jz AND r.y = b.jy AND r.x = b.jx GROUP BY b.img, b.c, b.z, b.y, b.x),
+u{k} AS MATERIALIZED (SELECT p.*, p.p * ({damp}) * p.w AS v FROM p{k} p LEFT JOIN
+  (SELECT img, c, z, y, x, corr FROM c{k}) q USING (img, c, z, y, x))"""
+
+
+def rl_sql(fixture: str, taps, niter: int, damp: str = "coalesce(corr, 0)", **kw) -> str:
+    sql = start_sql(fixture, taps, **kw)
+    for k in range(1, niter + 1):
+        sql += data_sql(k, damp) + f""",
+s{k} AS MATERIALIZED (SELECT img, c, z, y, x, w, bg, d, xc AS xp, greatest(v, bg) AS xc FROM u{k})"""
+    return sql
+
+
+def result_sql(niter: int, offset: float = 5.0) -> str:
+    return f" SELECT img, c, z, y, x, round(greatest(xc - {offset}, 0), 6) AS v FROM s{niter} WHERE d IS NOT NULL"
+
+
+def _cells(df):
+    return df.select("img", "c", "z", "y", "x", rnd("v").alias("v"))
+
+
+@query("r10_rl_step", rl_sql("cells_ev", K35, 1) + " SELECT img, c, z, y, x, round(xp, 6) AS xp, round(xc, 6) AS xc FROM s1")
+def _r10(spark, sf):
+    opt = rs.Options(niter=1)
+    s = rs.rl_step(rs.prepare(fx.cells_ev(spark, sf), K35, opt), K35, 1, opt)
+    return s.select("img", "c", "z", "y", "x", rnd("xp").alias("xp"), rnd("xc").alias("xc"))
+
+
+@query("r11_richardson_lucy", rl_sql("cells_ev", K35, 3) + result_sql(3))
+def _r11(spark, sf):
+    return _cells(rs.richardson_lucy(fx.cells_ev(spark, sf), K35, niter=3, track=False).cells)
+
+
+@query("r11_richardson_lucy_large", rl_sql("cells_wk", K35, 3) + result_sql(3))
+def _r11b(spark, sf):
+    return _cells(rs.richardson_lucy(fx.cells_wk(spark, sf), K35, niter=3, track=False).cells)
+
+
+DAMP = """pow(greatest(coalesce(corr, 0), 1e-12), least(greatest(1 - exp(-greatest(p.p - p.bg, 0)
+  / greatest(3.0 * (SELECT sg.sigma FROM sg WHERE sg.img = p.img AND sg.c = p.c), 1e-12)), 1e-3), 1))"""
+SIGMA = LOW("cells_evs", 0.25).replace("rk AS", "rk2 AS").replace("FROM rk", "FROM rk2").replace("low AS", "low2 AS") + """,
+sm AS (SELECT img, c, quantile_disc(v, 0.5) AS med FROM low2 GROUP BY img, c),
+sg AS (SELECT img, c, greatest(1.4826 * quantile_disc(abs(v - med), 0.5), 1e-12) AS sigma
+  FROM low2 JOIN sm USING (img, c) GROUP BY img, c)"""
+
+
+def _damped_sql() -> str:
+    sql = start_sql("cells_evs", K35) + SIGMA
+    for k in (1, 2, 3):
+        sql += data_sql(k, DAMP) + f""",
+s{k} AS MATERIALIZED (SELECT img, c, z, y, x, w, bg, d, xc AS xp, greatest(v, bg) AS xc FROM u{k})"""
+    return sql + result_sql(3).replace(", 6)", ", 4)")
+
+
+@query("r11_richardson_lucy_damped", _damped_sql())
+def _r11c(spark, sf):
+    r = rs.richardson_lucy(fx.cells_evs(spark, sf), K35, niter=3, damping="auto", track=False)
+    return r.cells.select("img", "c", "z", "y", "x", rnd("v", 4).alias("v"))
+
+
+def tv_rl_sql(fixture: str, taps, niter: int, lam: float) -> str:
+    sql = start_sql(fixture, taps)
+    one = {a: 1.0 for a in "zyx"}
+    size = lambda a: f"(max({a}) OVER (PARTITION BY img, c) - min({a}) OVER (PARTITION BY img, c) + 1)"
+    for k in range(1, niter + 1):
+        sql += data_sql(k, "coalesce(corr, 0)") + f""",
+q{k} AS (SELECT *, {', '.join(f'(({a} % {size(a)}) + {size(a)}) % {size(a)} AS p{a}' for a in 'zyx')} FROM u{k}),
+{tv_sql(f'q{k}', lam, one, str(k), ('pz', 'py', 'px'))},
+s{k} AS MATERIALIZED (SELECT img, c, z, y, x, w, bg, d, xc AS xp, greatest(v * factor, bg) AS xc FROM tvf{k})"""
+    return sql + result_sql(niter)
+
+
+@query("r12_richardson_lucy_tv", tv_rl_sql("cells_ev", K35, 3, 0.05))
+def _r12(spark, sf):
+    return _cells(rs.richardson_lucy_tv(fx.cells_ev(spark, sf), K35, 0.05, niter=3, track=False).cells)
+
+
+def sparse_rl_sql(fixture: str, taps, niter: int, w: float, reg: float) -> str:
+    sql = start_sql(fixture, taps)
+    for k in range(1, niter + 1):
+        sql += data_sql(k, "coalesce(corr, 0)") + f""",
+x{k} AS MATERIALIZED (SELECT * REPLACE (greatest(v, bg) AS v) FROM u{k}),
+i{k} AS MATERIALIZED (SELECT img, c, z, y, x, v, bg FROM x{k} WHERE d IS NOT NULL),
+{grad_pen_sql(f'i{k}', w, 1.0, False, str(k))},
+sc{k} AS (SELECT i.img, i.c, greatest(avg(abs(g)), 1e-12) AS scale, greatest(avg(i.v) - max(i.bg), 1) AS sig
+  FROM i{k} i JOIN hg{k} USING (img, c, z, y, x) GROUP BY i.img, i.c),
+s{k} AS MATERIALIZED (SELECT x.img, x.c, x.z, x.y, x.x, x.w, x.bg, x.d, x.xc AS xp,
+  CASE WHEN x.d IS NULL THEN x.v ELSE greatest(x.v - {0.1 * (1 - reg)!r} * sig * g / scale, x.bg) END AS xc
+  FROM x{k} x JOIN sc{k} USING (img, c) LEFT JOIN hg{k} USING (img, c, z, y, x))"""
+    return sql + result_sql(niter)
+
+
+@query("r13_sparse_hessian", sparse_rl_sql("cells_ev", K35, 3, 0.6, 0.9))
+def _r13(spark, sf):
+    r = rs.sparse_hessian_deconvolve(fx.cells_ev(spark, sf), K35, 0.6, 0.9, volume=False, niter=3, track=False)
+    return _cells(r.cells)
+
+
+@query("r9_momentum", f"""SELECT o_orderkey, round(greatest(o_totalprice + {rs.momentum_weight(7)!r} * (o_totalprice - o_custkey), 1000.0), 4) AS p
+FROM orders""")
+def _r9(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    p = rs.momentum(F.col("o_totalprice"), F.col("o_custkey").cast("double"), 7, F.lit(1000.0))
+    return o.select("o_orderkey", rnd(p, 4).alias("p"))
+
+
+OBS = start_sql("cells_ev", K35, x0="coalesce(im.d, q.bg)") + " SELECT img, c, y, x, round(xc, 6) AS v, round(w, 6) AS w FROM s0"
+
+
+@query("r8_start_observed", OBS)
+def _r8a(spark, sf):
+    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="observed"))
+    return s.select("img", "c", "y", "x", rnd("xc").alias("v"), rnd("w").alias("w"))
+
+
+@query("r8_start_flat", start_sql("cells_ev", K35) + " SELECT img, c, y, x, round(xc, 6) AS v FROM s0")
+def _r8b(spark, sf):
+    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="flat"))
+    return s.select("img", "c", "y", "x", rnd("xc").alias("v"))
+
+
+def _hist_sql() -> str:
+    sql = rl_sql("cells_ev", K35, 2)
+    return sql + """,
+f AS (SELECT i.img, i.c, i.z, i.y, i.x, any_value(i.d) AS d, greatest(sum(p.xc * i.w), any_value(i.bg)) AS e
+  FROM ef i JOIN s2 p ON p.img = i.img AND p.c = i.c AND p.z = i.jz AND p.y = i.jy AND p.x = i.jx
+  GROUP BY i.img, i.c, i.z, i.y, i.x)
+SELECT img, c, 2 AS iter, round(avg(d * ln(d / e) - d + e), 6) AS metric FROM f GROUP BY img, c"""
+
+
+@query("r14_convergence_history", _hist_sql())
+def _r14(spark, sf):
+    h = rs.richardson_lucy(fx.cells_ev(spark, sf), K35, niter=2).history
+    return h.select("img", "c", "iter", rnd("metric").alias("metric"))
+
+
+@query("r14_converged_at", """
+WITH h AS (SELECT 'u' || (user_id // 50) AS img, event_type, day(ts)::INT * 2 AS iter, round(sum(value), 2) AS metric FROM events GROUP BY ALL),
+b AS (SELECT *, lag(metric) OVER (PARTITION BY img, event_type ORDER BY iter) AS before FROM h)
+SELECT img, event_type, coalesce(min(iter) FILTER (before > 0 AND (before - metric) / before < 0.005 AND iter > 15), 60)::BIGINT AS iterations
+FROM b GROUP BY img, event_type""")
+def _r14b(spark, sf):
+    h = fx.table(spark, sf, "events").groupBy(
+        F.concat(F.lit("u"), F.floor(F.col("user_id") / 50)).alias("img"), F.lit(0).alias("t"), F.col("event_type").alias("c"),
+        (F.dayofmonth("ts") * 2).alias("iter")).agg(F.round(F.sum("value"), 2).alias("metric"))
+    return rs.converged_at(h, 60).select("img", F.col("c").alias("event_type"), "iterations")

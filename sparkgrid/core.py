@@ -100,7 +100,7 @@ def grid(groups: DataFrame, ranges: dict[str, tuple[Column, Column]], block: int
     lo = lambda a, b: F.greatest(F.col(a), F.col(b) * block)
     hi = lambda a, b: F.least(F.col(a), F.col(b) * block + (block - 1))
     return (
-        blocks.repartition(*part)
+        spread(blocks, *part)
         .withColumn("z", F.explode(F.sequence("_z0", "_z1")))
         .withColumn("y", F.explode(F.sequence(lo("_y0", "by"), hi("_y1", "by"))))
         .withColumn("x", F.explode(F.sequence(lo("_x0", "bx"), hi("_x1", "bx"))))
@@ -111,7 +111,16 @@ def grid(groups: DataFrame, ranges: dict[str, tuple[Column, Column]], block: int
 def with_block(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """Tag each cell with the block that owns it and co-locate blocks."""
     tagged = cells.withColumn("by", fdiv("y", block)).withColumn("bx", fdiv("x", block))
-    return tagged.repartition(*[k for k in KEYS if k in cells.columns], "by", "bx")
+    return spread(tagged, *[k for k in KEYS if k in cells.columns], "by", "bx")
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over all shuffle partitions and keep that many tasks.
+
+    The stages that follow produce many values per row, so partitions that look
+    small by bytes must not be merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:

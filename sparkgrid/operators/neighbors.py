@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, KEYS, fdiv
+from sparkgrid.core import AXES, BLOCK, KEYS, fdiv, spread
 
 Tap = tuple[int, int, int, float]
 
@@ -45,11 +45,8 @@ def route(
     """Copy each cell to the blocks ``(hby, hbx)`` within its reach and co-locate."""
     span = lambda a, lo, hi: F.explode(F.sequence(
         fdiv(F.col(a) + F.lit(lo), block), fdiv(F.col(a) + F.lit(hi), block)))
-    return (
-        cells.withColumn("hby", span("y", *y_reach))
-        .withColumn("hbx", span("x", *x_reach))
-        .repartition(*keys, "hby", "hbx")
-    )
+    copies = cells.withColumn("hby", span("y", *y_reach)).withColumn("hbx", span("x", *x_reach))
+    return spread(copies, *keys, "hby", "hbx")
 
 
 def scatter(

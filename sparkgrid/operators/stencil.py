@@ -149,17 +149,17 @@ def sparse_hessian_gradient(
     h = attach(hessian(cells, z_scale, volume), dims.select(*KEYS, inner.alias("_count")), KEYS)
     base = w * w / (penalty_term(w) * F.col("_count"))
     parts = {
-        "A": F.col("dxx") * base, "B": F.col("dyy") * base, "C": F.col("dzz") * base * z_scale * z_scale,
-        "D": F.col("dxy") * base * 2, "E": F.col("dxz") * base * 2 * z_scale, "G": F.col("dyz") * base * 2 * z_scale,
-        "S": F.col("v") * (1 - w) * (1 - w) / (penalty_term(w) * F.col("_count")),
+        "_xx": F.col("dxx") * base, "_yy": F.col("dyy") * base, "_zz": F.col("dzz") * base * z_scale * z_scale,
+        "_xy": F.col("dxy") * base * 2, "_xz": F.col("dxz") * base * 2 * z_scale, "_yz": F.col("dyz") * base * 2 * z_scale,
+        "_self": F.col("v") * (1 - w) * (1 - w) / (penalty_term(w) * F.col("_count")),
     }
-    A, B, C, D, E, G, S = (F.col(k) for k in parts)
+    xx, yy, zz, xy, xz, yz, own = (F.col(k) for k in parts)
     give = {
-        (0, 0, 0): 2 * A + 2 * B + 2 * C + D + E + G + S,
-        (0, 0, 1): -A - D - E, (0, 0, -1): -A, (0, 1, 0): -B - D - G, (0, -1, 0): -B, (0, 1, 1): D,
+        (0, 0, 0): 2 * xx + 2 * yy + 2 * zz + xy + xz + yz + own,
+        (0, 0, 1): -xx - xy - xz, (0, 0, -1): -xx, (0, 1, 0): -yy - xy - yz, (0, -1, 0): -yy, (0, 1, 1): xy,
     }
     if volume:
-        give |= {(1, 0, 0): -C - E - G, (-1, 0, 0): -C, (1, 0, 1): E, (1, 1, 0): G}
+        give |= {(1, 0, 0): -zz - xz - yz, (-1, 0, 0): -zz, (1, 0, 1): xz, (1, 1, 0): yz}
     sent = h.select(*CELL, *[e.alias(k) for k, e in parts.items()]).select(
         *CELL, F.array(*give.values()).alias("give"), F.lit(0).alias("own"))
     # every cell also sends a marker to itself, so the result covers the image

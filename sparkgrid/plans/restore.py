@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, fdiv, grid, settle
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, fdiv, grid, settle, spread
 from sparkgrid.functions.scalar import damped, damping_exponent
 from sparkgrid.operators import kernel as kn
 from sparkgrid.operators.conv import flip, inside_sum, work_ranges
@@ -109,7 +109,7 @@ def prepare(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFrame:
         keyed = keyed.join(low.withColumnRenamed("v", "low"), CELL)
     box = grid(groups, work_ranges(taps), opt.block)
     on = KEYS + ["by", "bx"] + AXES
-    state = box.join(keyed.repartition(*KEYS, "by", "bx"), on, "left")
+    state = box.join(spread(keyed, *KEYS, "by", "bx"), on, "left")
     mass = inside_sum(taps, F.col("nz"), F.col("ny"), F.col("nx"))
     state = state.withColumn("_m", mass).withColumn(
         "w", F.when(F.col("_m") > 0.01, 1 / F.col("_m")).otherwise(F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, fdiv, grid
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, fdiv, grid, spread
 
 
 def read_cells(spark: SparkSession, path: str, t: int | None = None, c: int | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def densify(
     extra = [c for c in groups.columns if c not in KEYS]
     box = grid(groups, ranges, block)
     keyed = cells.withColumn("by", fdiv("y", block)).withColumn("bx", fdiv("x", block))
-    keyed = keyed.repartition(*KEYS, "by", "bx")
+    keyed = spread(keyed, *KEYS, "by", "bx")
     fill = fill if isinstance(fill, Column) else F.lit(float(fill))
     joined = box.join(keyed, KEYS + ["by", "bx"] + AXES, "left")
     return joined.select(*CELL, *extra, F.coalesce("v", fill).alias("v"))
