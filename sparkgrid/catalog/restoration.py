@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkgrid import fixtures as fx
@@ -7,10 +10,11 @@ from sparkgrid.catalog import query
 from sparkgrid.catalog.kernels import K35, taps_sql
 from sparkgrid.catalog.statistics import LOW
 from sparkgrid.catalog.windows import filter_sql, grad_pen_sql, tv_sql
-from sparkgrid.core import rnd
+from sparkgrid.core import extents, rnd
 from sparkgrid.fixtures import with_sql
-from sparkgrid.operators.stencil import gaussian_weights
-from sparkgrid.plans import restore as rs
+from sparkgrid.operators import tiles as tl
+from sparkgrid.operators.kernel import separable
+from sparkgrid.plans import batch as bt, restore as rs, tiled as td
 
 
 def start_sql(fixture: str, taps, offset: float = 5.0, x0: str = "greatest(q.mean, q.bg)") -> str:
@@ -186,3 +190,163 @@ def _r14b(spark, sf):
         F.concat(F.lit("u"), F.floor(F.col("user_id") / 50)).alias("img"), F.lit(0).alias("t"), F.col("event_type").alias("c"),
         (F.dayofmonth("ts") * 2).alias("iter")).agg(F.round(F.sum("value"), 2).alias("metric"))
     return rs.converged_at(h, 60).select("img", F.col("c").alias("event_type"), "iterations")
+
+
+# --- tiles, presets, batch runs -------------------------------------------
+
+
+@query("k2_best_tile_grid", """
+WITH o AS (SELECT o_orderkey AS img, 300 + o_custkey AS h, 200 + floor(o_totalprice / 1000)::BIGINT AS w, 1 + o_orderkey % 24 AS n FROM orders),
+g AS (SELECT *, unnest(range(1, n + 1)) AS ny FROM o),
+r AS (SELECT *, greatest(h / ny, w / (n / ny)) / greatest(least(h / ny, w / (n / ny)), 1.0) AS ratio FROM g WHERE n % ny = 0)
+SELECT img, arg_min(ny, (ratio, ny))::INT AS ny, (any_value(n) / arg_min(ny, (ratio, ny)))::INT AS nx FROM r GROUP BY img""")
+def _k2(spark, sf):
+    o = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("img"), (F.col("o_custkey") + 300).alias("h"),
+        (F.floor(F.col("o_totalprice") / 1000) + 200).alias("w"), (F.col("o_orderkey") % 24 + 1).alias("n"))
+    return tl.best_tile_grid(o).select("img", "ny", "nx")
+
+
+@query("r16_suggest_tile", """
+SELECT p_partkey, greatest(256, least(floor(sqrt((p_retailprice * 1000000 // 2) / (64 * CASE WHEN p_size > 1 THEN 4 * p_size ELSE 1 END))) - 65, 4096))::BIGINT AS side FROM part""")
+def _r16(spark, sf):
+    p = fx.table(spark, sf, "part")
+    return p.select("p_partkey", tl.suggest_tile(F.col("p_size"), F.round(F.col("p_retailprice") * 1000000)).alias("side"))
+
+
+def _grids(spark, sf):
+    return fx.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("img"), (F.col("s_suppkey") + 101).cast("int").alias("h"),
+        (F.col("s_nationkey") * 3 + 90).cast("int").alias("w"), F.lit(4).alias("ny"), F.lit(3).alias("nx"))
+
+
+@query("r16_tile_table", """
+WITH g AS (SELECT s_suppkey AS img, (s_suppkey + 101)::INT AS h, (s_nationkey * 3 + 90)::INT AS w FROM supplier),
+t AS (SELECT *, unnest(range(4))::INT AS iy FROM g), u AS (SELECT *, unnest(range(3))::INT AS ix FROM t),
+b AS (SELECT *, round_even(iy * (h / 4), 0)::INT AS y0c, round_even((iy + 1) * (h / 4), 0)::INT AS y1c,
+  round_even(ix * (w / 3), 0)::INT AS x0c, round_even((ix + 1) * (w / 3), 0)::INT AS x1c FROM u)
+SELECT img, iy, ix, y0c, y1c, greatest(y0c - 5, 0)::INT AS y0e, least(y1c + 5, h)::INT AS y1e, x0c, x1c, greatest(x0c - 5, 0)::INT AS x0e, least(x1c + 5, w)::INT AS x1e,
+  (y0c - greatest(y0c - 5, 0))::INT AS ov_top, (least(y1c + 5, h) - y1c)::INT AS ov_bot,
+  (x0c - greatest(x0c - 5, 0))::INT AS ov_left, (least(x1c + 5, w) - x1c)::INT AS ov_right FROM b""")
+def _r16b(spark, sf):
+    return tl.tile_table(_grids(spark, sf), 5)
+
+
+TILES = with_sql("cells_wk") + """,
+d AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM cells_wk),
+a AS (SELECT iy, ix, h, w, round_even(iy * (h / 2), 0)::INT AS y0, round_even((iy + 1) * (h / 2), 0)::INT AS y1,
+  round_even(ix * (w / 5), 0)::INT AS x0, round_even((ix + 1) * (w / 5), 0)::INT AS x1
+  FROM d, (SELECT unnest(range(2))::INT AS iy), (SELECT unnest(range(5))::INT AS ix)),
+ti AS (SELECT iy, ix, greatest(y0 - 3, 0) AS y0, least(y1 + 3, h) AS y1, greatest(x0 - 3, 0) AS x0, least(x1 + 3, w) AS x1,
+  y0 - greatest(y0 - 3, 0) AS ot, least(y1 + 3, h) - y1 AS ob, x0 - greatest(x0 - 3, 0) AS ol, least(x1 + 3, w) - x1 AS rr FROM a)"""
+
+
+def _wk_grid(spark, sf):
+    return extents(fx.cells_wk(spark, sf)).select(
+        "img", F.col("ny").alias("h"), F.col("nx").alias("w"), F.lit(2).alias("ny"), F.lit(5).alias("nx"))
+
+
+@query("j6_assign_halo", TILES + """
+SELECT iy, ix, y, x, v FROM cells_wk JOIN ti ON y >= ti.y0 - 4 AND y < ti.y1 + 4 AND x >= ti.x0 - 4 AND x < ti.x1 + 4""")
+def _j6(spark, sf):
+    return tl.assign_halo(fx.cells_wk(spark, sf), _wk_grid(spark, sf), 3, 4).select("iy", "ix", "y", "x", "v")
+
+
+@query("a25_blend_tiles", TILES + """,
+p AS (SELECT y, x, v * (1 + ix / 10) AS v,
+  CASE WHEN y < y0 + ot THEN (y - y0 + 1) / ot ELSE 1 END * CASE WHEN y >= y1 - ob THEN (y1 - y) / ob ELSE 1 END
+  * CASE WHEN x < x0 + ol THEN (x - x0 + 1) / ol ELSE 1 END * CASE WHEN x >= x1 - rr THEN (x1 - x) / rr ELSE 1 END AS w
+  FROM cells_wk JOIN ti ON y >= y0 AND y < y1 AND x >= x0 AND x < x1)
+SELECT y, x, round(greatest(sum(w * v) / greatest(sum(w), 1e-12), 0), 6) AS v FROM p GROUP BY y, x""")
+def _a25(spark, sf):
+    g = _wk_grid(spark, sf)
+    parts = tl.assign_halo(fx.cells_wk(spark, sf), g, 3, 4).withColumn("v", F.col("v") * (1 + F.col("ix") / 10))
+    parts = parts.select("img", "t", "c", "z", "y", "x", "v", "iy", "ix")
+    return tl.blend_tiles(parts, g, 3).select("y", "x", rnd("v").alias("v"))
+
+
+def taps_block(taps):
+    """Taps as a dense odd block, the form tiles work with."""
+    half = [max(abs(t[i]) for t in taps) for i in range(3)]
+    out = np.zeros([2 * h + 1 for h in half])
+    for t in taps:
+        out[tuple(t[i] + half[i] for i in range(3))] += t[3]
+    return out
+
+
+@query("r17_restore_one_tile", rl_sql("cells_ev", K35, 3) + result_sql(3))
+def _r17(spark, sf):
+    """A one-tile grid must give the same cells as the column plan."""
+    cells = fx.cells_ev(spark, sf)
+    one = extents(cells).select("img", F.col("ny").alias("h"), F.col("nx").alias("w"), F.lit(1).alias("ny"), F.lit(1).alias("nx"))
+    return _cells(td.restore_tiled(cells, taps_block(K35), one, niter=3).cells)
+
+
+@query("r17_restore_tiled_tv", tv_rl_sql("cells_ev", K35, 3, 0.05))
+def _r17b(spark, sf):
+    cells = fx.cells_ev(spark, sf)
+    one = extents(cells).select("img", F.col("ny").alias("h"), F.col("nx").alias("w"), F.lit(1).alias("ny"), F.lit(1).alias("nx"))
+    return _cells(td.restore_tiled(cells, taps_block(K35), one, tv_lambda=0.05, niter=3).cells)
+
+
+@query("r17_restore_tiled_sparse", sparse_rl_sql("cells_ev", K35, 3, 0.6, 0.9))
+def _r17c(spark, sf):
+    cells = fx.cells_ev(spark, sf)
+    one = extents(cells).select("img", F.col("ny").alias("h"), F.col("nx").alias("w"), F.lit(1).alias("ny"), F.lit(1).alias("nx"))
+    return _cells(td.restore_tiled(cells, taps_block(K35), one, sparse=(0.6, 0.9), niter=3).cells)
+
+
+@query("r17_restore_tiled")
+def _r17d(spark, sf):
+    cells = fx.cells_wk(spark, sf)
+    return _cells(td.restore_tiled(cells, taps_block(K35), _wk_grid(spark, sf), niter=10).cells)
+
+
+@query("r15_preset_background", with_sql("cells_evs") + ", " + filter_sql("cells_evs", "f1", "y", [1 / 7] * 7) + ", "
+       + filter_sql("f1", "f2", "x", [1 / 7] * 7) + LOW("f2", 0.01) + """,
+lb AS (SELECT img, c, quantile_disc(v, 0.5) AS l FROM low GROUP BY img, c)""" + LOW("cells_evs", 0.1)
+       .replace("rk AS", "rk2 AS").replace("FROM rk", "FROM rk2").replace("low AS", "low2 AS") + """,
+gb AS (SELECT img, c, quantile_disc(v, 0.5) AS g FROM low2 GROUP BY img, c)
+SELECT img, c, round(greatest(least(l, g) * 1.1, 1e-6), 6) AS background FROM lb JOIN gb USING (img, c)""")
+def _r15a(spark, sf):
+    b = rs.preset_background(fx.cells_evs(spark, sf), 3, rs.PRESETS["conservative"][2])
+    return b.select("img", "c", rnd("background").alias("background"))
+
+
+@query("r15_restore_2d_preset")
+def _r15(spark, sf):
+    cells = fx.cells_ev(spark, sf)
+    # a 21 x 5 x 5 blur for every table, as one kernel row set
+    z = [math.exp(-0.5 * (i / 4) ** 2) for i in range(-10, 11)]
+    g = [math.exp(-0.5 * i * i) for i in range(-2, 3)]
+    k3 = spark.createDataFrame([("k", *t) for t in separable(z, g, g)], "kid string, dz int, dy int, dx int, w double")
+    return _cells(rs.restore_2d_preset(cells, k3, "conservative", 3, niter=3, track=False).cells)
+
+
+@query("r18_restore_dispatch", tv_rl_sql("cells_ev", K35, 3, 0.05))
+def _r18(spark, sf):
+    # the sparse-Hessian weight belongs to another method and is dropped
+    r = bt.restore_dispatch(fx.cells_ev(spark, sf), K35, "rl_tv", shape=(1, 24, 30), tv_lambda=0.05, weight=0.3, niter=3, track=False)
+    return _cells(r.cells)
+
+
+@query("r19_restore_series", rl_sql("cells_ti", K35, 3) + """
+SELECT img, c, z, y, x, round(greatest(xc - 5, 0), 6) AS v FROM s3 WHERE d IS NOT NULL AND c = 0
+UNION ALL SELECT img, c, z, y, x, round(greatest(xc - 5, 0), 6) FROM s2 WHERE d IS NOT NULL AND c > 0""")
+def _r19(spark, sf):
+    r = bt.restore_series(fx.cells_t(spark, sf), K35, "rl", [3, 2], track=False)
+    return _cells(r.withColumn("img", F.concat_ws("#", "img", F.col("t").cast("string"))))
+
+
+@query("r19_restore_plate", rl_sql("cells_pl", K35, 2) + result_sql(2))
+def _r19b(spark, sf):
+    cells = fx.cells_ev(spark, sf)
+    cells = cells.withColumn("img", F.concat("img", F.lit("/A/1/"), F.col("c"))).withColumn("c", F.lit(0))
+    fields = fx.channels(spark, sf).select(
+        F.col("img").alias("plate"), F.lit("A").alias("row"), F.lit("1").alias("col"), F.col("c").cast("string").alias("field"))
+    return _cells(bt.restore_plate(fields, cells, K35, "rl", niter=2, track=False))
+
+
+@query("r20_benchmark_methods")
+def _r20(spark, sf):
+    return bt.benchmark_methods(spark, fx.cells_ev(spark, sf), K35, niter=2, volume=False, track=False)

@@ -45,14 +45,17 @@ def attach(
     on: list[str],
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
+    settled: bool = False,
 ) -> DataFrame:
     """Join a one-row-per-group table to many rows without moving a hot group.
 
     The group table is written once and counted.  Up to ``limit`` rows it is
     broadcast; above that both sides are salted, so one group that holds a
-    large share of ``rows`` is still spread over ``SALTS`` tasks.
+    large share of ``rows`` is still spread over ``SALTS`` tasks.  Pass
+    ``settled`` when the table was already written by :func:`settle`.
     """
-    groups = settle(groups)
+    if not settled:
+        groups = settle(groups)
     if groups.count() <= limit:
         return rows.join(F.broadcast(groups), on, how)
     others = [F.col(c) for c in rows.columns if c not in on]

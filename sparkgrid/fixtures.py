@@ -177,6 +177,8 @@ cells_stack AS (SELECT 's' AS img, 0 AS t, b.c, b.z, b.y, b.x, coalesce(st.v, 0)
     "cells_emb": ([], """cells_emb AS (SELECT 'e' AS img, 0 AS t, label AS c, 0 AS z, vec_id::INT AS y,
   (unnest(range(len(embedding))))::INT AS x, (unnest(embedding))::DOUBLE AS v FROM embeddings)"""),
     "cells_t": (["cells_evs"], """cells_t AS (SELECT img, (x // 7)::INT AS t, c, z, y, (x % 7)::INT AS x, v FROM cells_evs)"""),
+    "cells_ti": (["cells_t"], "cells_ti AS (SELECT img || '#' || t AS img, 0 AS t, c, z, y, x, v FROM cells_t)"),
+    "cells_pl": (["cells_ev"], "cells_pl AS (SELECT img || '/A/1/' || c AS img, 0 AS t, 0 AS c, z, y, x, v FROM cells_ev)"),
     "kernel_ev": (["cells_ev"], "kernel_ev AS (SELECT img AS kid, x AS z, y, c AS x, v AS w FROM cells_ev)"),
     "channels": (["ev"], """channels AS (SELECT img, c, (['click','error','purchase','signup','view'])[c + 1] AS name,
   CASE WHEN c = 1 THEN NULL WHEN c = 4 THEN 900.0 ELSE 400.0 + 60.0 * c END::DOUBLE AS emission,

@@ -84,6 +84,11 @@ def momentum(cur: Column, prev: Column, k: int, bg: Column) -> Column:
 
 def prepare(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFrame:
     """Work-box state with background, noise level, boundary weights and start."""
+    return prepare_work(cells, taps, opt)[0]
+
+
+def prepare_work(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> tuple[DataFrame, DataFrame]:
+    """The state and the settled one-row-per-image table behind it."""
     base = cells.select(*CELL, "v")
     if isinstance(opt.background, DataFrame):
         bg = opt.background.select(*KEYS, F.greatest("background", F.lit(1e-6)).alias("bg"))
@@ -118,7 +123,8 @@ def prepare(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFrame:
         "observed": F.coalesce("d", "bg"),
         "lowpass": F.greatest(F.coalesce(F.col("low"), F.col("bg")), F.col("bg")) if opt.start == "lowpass" else None,
     }[opt.start]
-    return state.select(*CELL, "d", "bg", "sigma", "w", x0.alias("xp"), x0.alias("xc"), F.lit(0).alias("done"))
+    return state.select(
+        *CELL, "d", "bg", "sigma", "w", x0.alias("xp"), x0.alias("xc"), F.lit(0).alias("done")), groups
 
 
 def with_center(taps: Sequence[Tap]) -> tuple[list[Tap], int]:
@@ -189,7 +195,7 @@ def _advance(step: DataFrame, new: Column) -> DataFrame:
     return step.select(*CELL, "d", "bg", "sigma", "w", F.col("xc").alias("xp"), moved.alias("xc"), "done")
 
 
-def tv_step(lam: float, scales: dict[str, float], sign: str, taps: Sequence[Tap]):
+def tv_step(lam: float, scales: dict[str, float], sign: str, groups: DataFrame):
     """Data step followed by the total-variation factor, in array storage order.
 
     The work box is stored circularly: cells left of the image come after the
@@ -202,9 +208,9 @@ def tv_step(lam: float, scales: dict[str, float], sign: str, taps: Sequence[Tap]
         if opt.damp_strength > 0:
             corr = damped(corr, damping_exponent(F.col("p"), F.col("sigma"), opt.damp_strength, F.col("bg")))
         raw = step.withColumn("v", F.col("p") * corr * F.col("w")).drop("corr", "p")
-        lengths = raw.groupBy(*KEYS).agg(*[
-            f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
-        stored = attach(raw, lengths, KEYS)
+        ranges = work_ranges(taps_)
+        ends = [r.alias(f"_{n}{a}") for a in AXES for n, r in zip(("lo", "hi"), ranges[a])]
+        stored = attach(raw, groups.select(*KEYS, *ends), KEYS, settled=True)
         for a in AXES:
             size = F.col(f"_hi{a}") - F.col(f"_lo{a}") + 1
             stored = stored.withColumn(a, F.pmod(F.col(a), size).cast("int"))
@@ -315,8 +321,9 @@ def richardson_lucy_tv(
 ) -> Restored:
     """The same loop with a total-variation factor after every update."""
     opt = Options(**options)
-    step = tv_step(tv_lambda, axis_scales(pixel_xy, pixel_z), sign, taps) if tv_lambda > 0 else rl_step
-    return run(prepare(cells, taps, opt), taps, opt, step)
+    state, groups = prepare_work(cells, taps, opt)
+    step = tv_step(tv_lambda, axis_scales(pixel_xy, pixel_z), sign, groups) if tv_lambda > 0 else rl_step
+    return run(state, taps, opt, step)
 
 
 def sparse_hessian_deconvolve(
