@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def write_aside(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` below the checkpoint folder and return the table and its path.
+
+    Unlike a checkpoint the rows are computed once, and the table read back has
+    known size, so later joins are planned from facts.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/aside-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so lost executors cost no recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: lost executors then cost no recompute."""
+    return write_aside(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table made by :func:`write_aside`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def attach(

@@ -2,15 +2,36 @@
 
 The same updates as the column plan, written for a NumPy block whose size is
 bounded by the tile grid.  Kept to the loop itself; everything around it
-(halo, background of other tiles, blending) is relational.
+(halo, background of other tiles, blending) is relational.  Imports nothing
+but NumPy, so it can be shipped to executors by value.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-from sparkgrid.operators.stencil import gaussian_weights
-from sparkgrid.plans.restore import Options, momentum_weight
+
+@dataclass
+class Job:
+    """Plain settings of a tile run, resolved on the driver."""
+
+    kernel: np.ndarray
+    momentum: list[float]
+    offset: float
+    background: float | None
+    damping: float
+    start: str
+    auto_stop: bool
+    earliest_stop: int
+    rel_threshold: float
+    check_every: int
+    prefilter: list[float] | None
+    lowpass: list[float]
+    tv_lambda: float
+    z_scale: float
+    sparse: tuple[float, float] | None
 
 
 def lower_median(values: np.ndarray) -> float:
@@ -44,8 +65,8 @@ def tv(x: np.ndarray, lam: float, scales: list[float]) -> np.ndarray:
     return np.clip(1.0 / (1.0 - lam * div), 0.1, 10.0)
 
 
-def smooth(a: np.ndarray, sigma: float) -> np.ndarray:
-    w = np.array(gaussian_weights(sigma))
+def smooth(a: np.ndarray, weights: list[float]) -> np.ndarray:
+    w = np.array(weights)
     r = w.size // 2
     for ax in range(a.ndim):
         if a.shape[ax] > 1:
@@ -89,25 +110,19 @@ def hessian_gradient(x: np.ndarray, w: float, z_scale: float) -> np.ndarray:
     return g
 
 
-def solve(
-    image: np.ndarray, kernel: np.ndarray, opt: Options, tv_lambda: float = 0.0, z_scale: float = 1.0,
-    sparse: tuple[float, float] | None = None,
-):
-    """Restored block, last divergence and iterations used.
-
-    ``sparse`` = (weight, reg) adds the sparse-Hessian step to every update.
-    """
-    bg = max(lower_median(lowest(image, 0.1)), 1e-6) if opt.background == "auto" else max(float(opt.background), 1e-6)
-    d = image + opt.offset_value
-    bg += opt.offset_value
-    if opt.prefilter_sigma > 0:
-        d = np.maximum((smooth(2 * np.sqrt(np.maximum(d, 0) + 0.375), opt.prefilter_sigma) / 2) ** 2 - 0.375, 0)
-    if opt.damp_strength > 0:
+def solve(image: np.ndarray, job: Job):
+    """Restored block, last divergence and iterations used."""
+    kernel = job.kernel
+    bg = max(lower_median(lowest(image, 0.1)) if job.background is None else job.background, 1e-6) + job.offset
+    d = image + job.offset
+    if job.prefilter is not None:
+        d = np.maximum((smooth(2 * np.sqrt(np.maximum(d, 0) + 0.375), job.prefilter) / 2) ** 2 - 0.375, 0)
+    if job.damping > 0:
         low = lowest(d, 0.25)
         sigma = max(1.4826 * lower_median(np.abs(low - lower_median(low))), 1e-12)
     box = [n + k - 1 for n, k in zip(d.shape, kernel.shape)]
     # the total-variation factor depends on the circular box, so keep its size
-    size = box if tv_lambda > 0 else [fast_size(n) for n in box]
+    size = box if job.tv_lambda > 0 else [fast_size(n) for n in box]
     axes = tuple(range(d.ndim))
     pad = np.zeros(size)
     pad[tuple(slice(0, k) for k in kernel.shape)] = kernel / kernel.sum()
@@ -119,35 +134,35 @@ def solve(
     ones[inner] = 1.0
     mass = conv(ones, otf.conj())
     weight = np.where(mass > 0.01, 1.0 / np.where(mass > 0.01, mass, 1.0), 0.0)
-    x = np.full(size, max(float(d.mean()), bg) if opt.start == "flat" else bg)
-    if opt.start == "observed":
+    x = np.full(size, max(float(d.mean()), bg) if job.start == "flat" else bg)
+    if job.start == "observed":
         x[inner] = d
-    elif opt.start == "lowpass":
-        x[inner] = np.maximum(smooth(d, 8.0), bg)
-    prev, metrics, used = x, [], opt.niter
-    for k in range(1, opt.niter + 1):
-        p = np.maximum(x + momentum_weight(k) * (x - prev), bg)
+    elif job.start == "lowpass":
+        x[inner] = np.maximum(smooth(d, job.lowpass), bg)
+    prev, metrics, used = x, [], len(job.momentum)
+    for k, alpha in enumerate(job.momentum, start=1):
+        p = np.maximum(x + alpha * (x - prev), bg)
         r = np.zeros(size)
         r[inner] = d / np.maximum(conv(p, otf)[inner], bg)
         corr = conv(r, otf.conj())
-        if opt.damp_strength > 0:
-            gamma = 1 - np.exp(-np.maximum(p - bg, 0) / max(opt.damp_strength * sigma, 1e-12))
+        if job.damping > 0:
+            gamma = 1 - np.exp(-np.maximum(p - bg, 0) / max(job.damping * sigma, 1e-12))
             corr = np.maximum(corr, 1e-12) ** np.clip(gamma, 1e-3, 1.0)
         new = p * corr * weight
-        if tv_lambda > 0:
-            new = new * tv(new, tv_lambda, [z_scale, 1.0, 1.0])
+        if job.tv_lambda > 0:
+            new = new * tv(new, job.tv_lambda, [job.z_scale, 1.0, 1.0])
         new = np.maximum(new, bg)
-        if sparse is not None:
-            g = hessian_gradient(new[inner], sparse[0], z_scale)
-            step = 0.1 * max(1.0 - sparse[1], 0.0) * max(float(new[inner].mean()) - bg, 1.0)
+        if job.sparse is not None:
+            g = hessian_gradient(new[inner], job.sparse[0], job.z_scale)
+            step = 0.1 * max(1.0 - job.sparse[1], 0.0) * max(float(new[inner].mean()) - bg, 1.0)
             new[inner] = np.maximum(new[inner] - step * g / max(float(np.abs(g).mean()), 1e-12), bg)
         prev, x = x, new
-        if k % opt.check_every == 0 or k == opt.niter:
+        if k % job.check_every == 0 or k == len(job.momentum):
             e = np.maximum(np.maximum(conv(x, otf)[inner], bg), 1e-12)
             o = np.maximum(d, 1e-12)
             metrics.append(float(np.mean(o * np.log(o / e) - o + e)))
-            if opt.convergence == "auto" and len(metrics) > 1 and k > opt.earliest_stop and metrics[-2] > 0:
-                if (metrics[-2] - metrics[-1]) / metrics[-2] < opt.rel_threshold:
+            if job.auto_stop and len(metrics) > 1 and k > job.earliest_stop and metrics[-2] > 0:
+                if (metrics[-2] - metrics[-1]) / metrics[-2] < job.rel_threshold:
                     used = k
                     break
-    return np.maximum(x[inner] - opt.offset_value, 0.0), metrics[-1], used
+    return np.maximum(x[inner] - job.offset, 0.0), metrics[-1], used

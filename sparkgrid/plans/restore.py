@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, fdiv, grid, settle, spread
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, discard, fdiv, grid, settle, spread, write_aside
 from sparkgrid.functions.scalar import damped, damping_exponent
 from sparkgrid.operators import kernel as kn
 from sparkgrid.operators.conv import flip, inside_sum, work_ranges
@@ -209,8 +209,8 @@ def tv_step(lam: float, scales: dict[str, float], sign: str, groups: DataFrame):
             corr = damped(corr, damping_exponent(F.col("p"), F.col("sigma"), opt.damp_strength, F.col("bg")))
         raw = step.withColumn("v", F.col("p") * corr * F.col("w")).drop("corr", "p")
         ranges = work_ranges(taps_)
-        ends = [r.alias(f"_{n}{a}") for a in AXES for n, r in zip(("lo", "hi"), ranges[a])]
-        stored = attach(raw, groups.select(*KEYS, *ends), KEYS, settled=True)
+        bounds = [r.alias(f"_{n}{a}") for a in AXES for n, r in zip(("lo", "hi"), ranges[a])]
+        stored = attach(raw, groups.select(*KEYS, *bounds), KEYS, settled=True)
         for a in AXES:
             size = F.col(f"_hi{a}") - F.col(f"_lo{a}") + 1
             stored = stored.withColumn(a, F.pmod(F.col(a), size).cast("int"))
@@ -267,29 +267,38 @@ def run(
     checks: list[DataFrame] = []
     prev: DataFrame | None = None
     used: DataFrame | None = None
+    spark = state.sparkSession
+    kept: list[str] = []
+
+    def save(st: DataFrame) -> DataFrame:
+        """Write the state; states before the last one are no longer needed."""
+        out, path = write_aside(st)
+        kept.append(path)
+        while len(kept) > 2:
+            discard(spark, kept.pop(0))
+        return out
+
     for k in range(1, opt.niter + 1):
         state = step(state, taps, k, opt)
         check = opt.track and (k % opt.check_every == 0 or k == opt.niter)
-        if k % opt.checkpoint_every == 0 or (check and k < opt.niter):
-            state = settle(state)
+        if check or k % opt.checkpoint_every == 0:
+            state = save(state)
         if not check:
             continue
-        cur = metric(state, taps, opt).withColumn("iter", F.lit(k))
-        may_stop = opt.convergence == "auto" and prev is not None and k > opt.earliest_stop
-        if opt.convergence == "auto" and opt.niter > opt.earliest_stop:
-            cur = settle(cur)
+        cur = settle(metric(state, taps, opt).withColumn("iter", F.lit(k)))
         if used is not None:
             # images that stopped earlier record no further checks
-            cur = cur.join(used.select(*KEYS), KEYS, "left_anti")
+            cur = settle(cur.join(used.select(*KEYS), KEYS, "left_anti"))
         checks.append(cur)
-        if may_stop:
+        if opt.convergence == "auto" and prev is not None and k > opt.earliest_stop:
             rel = (F.col("_before") - F.col("metric")) / F.col("_before")
             stop = prev.select(*KEYS, F.col("metric").alias("_before")).join(cur, KEYS).filter(
                 (F.col("_before") > 0) & (rel < opt.rel_threshold)).select(*KEYS, F.lit(k).alias("iterations"))
             used = settle(stop if used is None else used.unionByName(stop))
             if k < opt.niter:
-                state = attach(state, used.select(*KEYS, F.lit(1).alias("_stop")), KEYS, "left")
-                state = settle(state.withColumn("done", F.greatest("done", F.coalesce("_stop", F.lit(0)))).drop("_stop"))
+                ended = used.select(*KEYS, F.lit(1).alias("_stop"))
+                state = attach(state, ended, KEYS, "left", settled=True).withColumn(
+                    "done", F.greatest("done", F.coalesce("_stop", F.lit(0)))).drop("_stop")
                 if state.filter(F.col("done") == 0).isEmpty():
                     break
         prev = cur

@@ -7,10 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import cloudpickle
+
 from sparkgrid.core import KEYS, extents, settle
 from sparkgrid.operators import tiles as tl
-from sparkgrid.plans.dense import solve
-from sparkgrid.plans.restore import Options, Restored
+from sparkgrid.operators.stencil import gaussian_weights
+from sparkgrid.plans import dense
+from sparkgrid.plans.restore import Options, Restored, momentum_weight
+
+# executors need NumPy but not this package
+cloudpickle.register_pickle_by_value(dense)
 
 MARGIN = 16
 #: entries of a kernel shipped to the tasks (32 MB of doubles)
@@ -65,7 +71,15 @@ def restore_tiled(
     small = F.least(F.col("h") / F.col("ny"), F.col("w") / F.col("nx")) < max(kernel.shape[-2:])
     whole = lambda n: F.when(small, F.lit(1)).otherwise(F.col(n)).cast("int").alias(n)
     grids = settle(grids.select("img", "h", "w", whole("ny"), whole("nx")))
-    shipped = cells.sparkSession.sparkContext.broadcast(kernel)
+    job = dense.Job(
+        kernel=kernel, momentum=[momentum_weight(k) for k in range(1, opt.niter + 1)], offset=opt.offset_value,
+        background=None if opt.background == "auto" else float(opt.background), damping=opt.damp_strength,
+        start=opt.start, auto_stop=opt.convergence == "auto", earliest_stop=opt.earliest_stop,
+        rel_threshold=opt.rel_threshold, check_every=opt.check_every,
+        prefilter=gaussian_weights(opt.prefilter_sigma) if opt.prefilter_sigma > 0 else None,
+        lowpass=gaussian_weights(8.0), tv_lambda=tv_lambda, z_scale=z_scale, sparse=sparse)
+    shipped = cells.sparkSession.sparkContext.broadcast(job)
+    solve = dense.solve
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         at = [pdf[a].to_numpy() for a in ("z", "y", "x")]
@@ -73,7 +87,7 @@ def restore_tiled(
         pos = tuple(i - o for i, o in zip(at, low))
         block = np.zeros([int(i.max()) + 1 for i in pos])
         block[pos] = pdf["v"].to_numpy()
-        done, metric, used = solve(block, shipped.value, opt, tv_lambda, z_scale, sparse)
+        done, metric, used = solve(block, shipped.value)
         out = pdf[["img", "t", "c", "z", "y", "x"]].copy()
         out["v"] = done[pos]
         for k in ("iy", "ix"):
