@@ -82,6 +82,13 @@ def _r11b(spark, sf):
     return _cells(rs.richardson_lucy(fx.cells_wk(spark, sf), K35, niter=3, track=False).cells)
 
 
+@query("r11_richardson_lucy_blocks", rl_sql("cells_wk", K35, 7) + result_sql(7))
+def _r11d(spark, sf):
+    """Dense blocks, several updates per exchange: same cells as the column plan."""
+    r = rs.richardson_lucy(fx.cells_wk(spark, sf), K35, niter=7, engine="blocks", dense_block=64)
+    return _cells(r.cells)
+
+
 DAMP = """pow(greatest(coalesce(corr, 0), 1e-12), least(greatest(1 - exp(-greatest(p.p - p.bg, 0)
   / greatest(3.0 * (SELECT sg.sigma FROM sg WHERE sg.img = p.img AND sg.c = p.c), 1e-12)), 1e-3), 1))"""
 SIGMA = LOW("cells_evs", 0.25).replace("rk AS", "rk2 AS").replace("FROM rk", "FROM rk2").replace("low AS", "low2 AS") + """,
@@ -155,13 +162,13 @@ OBS = start_sql("cells_ev", K35, x0="coalesce(im.d, q.bg)") + " SELECT img, c, y
 
 @query("r8_start_observed", OBS)
 def _r8a(spark, sf):
-    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="observed"))
+    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="observed", engine="columns"))
     return s.select("img", "c", "y", "x", rnd("xc").alias("v"), rnd("w").alias("w"))
 
 
 @query("r8_start_flat", start_sql("cells_ev", K35) + " SELECT img, c, y, x, round(xc, 6) AS v FROM s0")
 def _r8b(spark, sf):
-    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="flat"))
+    s = rs.prepare(fx.cells_ev(spark, sf), K35, rs.Options(start="flat", engine="columns"))
     return s.select("img", "c", "y", "x", rnd("xc").alias("v"))
 
 

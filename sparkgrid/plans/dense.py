@@ -166,3 +166,52 @@ def solve(image: np.ndarray, job: Job):
                     used = k
                     break
     return np.maximum(x[inner] - job.offset, 0.0), metrics[-1], used
+
+
+def shift_sum(a: np.ndarray, taps: list[tuple[int, int, int, float]], sign: int) -> np.ndarray:
+    """``out[j] = sum w a[j - sign * o]`` with zeros beyond the block."""
+    out = np.zeros_like(a)
+    for *offset, w in taps:
+        to, come = [], []
+        for o, n in zip(offset, a.shape):
+            o *= sign
+            to.append(slice(max(o, 0), n + min(o, 0)))
+            come.append(slice(max(-o, 0), n + min(-o, 0)))
+        if all(s.start < s.stop for s in to):
+            out[tuple(to)] += w * a[tuple(come)]
+    return out
+
+
+def advance(
+    at: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray, xp: np.ndarray, xc: np.ndarray,
+    bg: float, sigma: float, taps: list[tuple[int, int, int, float]], momentum: list[float], damping: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Several updates of one block with its halo.
+
+    Values nearer to the rim than the halo needs are not exact; callers keep
+    the cells of the block itself.  Returns previous, current and re-blurred
+    current values in row order.
+    """
+    low = [int(i.min()) for i in at]
+    pos = tuple(i - o for i, o in zip(at, low))
+    shape = [int(i.max()) + 1 for i in pos]
+    dense = lambda values: _fill(shape, pos, values)
+    have, seen = dense(np.ones(len(d))) > 0, dense(~np.isnan(d) * 1.0) > 0
+    obs, cur, prev = dense(np.nan_to_num(d)), dense(xc), dense(xp)
+    mass = shift_sum(seen * 1.0, taps, -1)
+    weight = np.where(mass > 0.01, 1.0 / np.where(mass > 0.01, mass, 1.0), 0.0)
+    for alpha in momentum:
+        p = np.where(have, np.maximum(cur + alpha * (cur - prev), bg), 0.0)
+        ratio = np.where(seen, obs / np.maximum(shift_sum(p, taps, 1), bg), 0.0)
+        corr = shift_sum(ratio, taps, -1)
+        if damping > 0:
+            gamma = 1 - np.exp(-np.maximum(p - bg, 0) / max(damping * sigma, 1e-12))
+            corr = np.maximum(corr, 1e-12) ** np.clip(gamma, 1e-3, 1.0)
+        prev, cur = cur, np.where(have, np.maximum(p * corr * weight, bg), 0.0)
+    return prev[pos], cur[pos], shift_sum(cur, taps, 1)[pos]
+
+
+def _fill(shape: list[int], pos: tuple[np.ndarray, ...], values: np.ndarray) -> np.ndarray:
+    out = np.zeros(shape)
+    out[pos] = values
+    return out

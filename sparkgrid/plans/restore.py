@@ -3,7 +3,8 @@
 State is one row per cell of the work box (the image dilated by the kernel).
 A data step needs the estimate within one kernel width around a block, so a
 step is one exchange of block rims; both the forward and the adjoint sums then
-run inside the block.  All images, time points and channels advance together.
+run inside the block.  Long runs widen the rims and do several updates of dense
+blocks per exchange, with the same result.  All images, time points and channels advance together.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, discard, fdiv, grid, settle, spread, write_aside
@@ -23,13 +26,14 @@ from sparkgrid.operators.conv import flip, inside_sum, work_ranges
 from sparkgrid.operators.neighbors import Tap, reach, route, scatter, tap_array
 from sparkgrid.operators.rank import background_level, noise_sigma
 from sparkgrid.operators.stats import divergence_of, nll_of
+from sparkgrid.plans import dense
 from sparkgrid.operators.stencil import (
     anscombe_prefilter, axis_scales, gaussian_smooth, local_background, sparse_hessian_gradient,
     sparse_hessian_penalty, tv_factor,
 )
 
-#: per-cell values that travel with the state
-FIELDS = ["d", "bg", "sigma", "w", "xp", "xc"]
+# executors need NumPy but not this package
+cloudpickle.register_pickle_by_value(dense)
 
 
 @dataclass
@@ -57,6 +61,9 @@ class Options:
     checkpoint_every: int = 4
     track: bool = True
     block: int = BLOCK
+    #: "columns" (expressions only), "blocks" (dense blocks) or "auto"
+    engine: str = "auto"
+    dense_block: int = 256
     smooth_axes: Sequence[str] = ("y", "x")
 
     offset_value: float = field(init=False)
@@ -68,6 +75,13 @@ class Options:
         if self.start not in ("flat", "observed", "lowpass"):
             self.start = "flat"
 
+    @property
+    def dense(self) -> bool:
+        """Long runs pay for dense blocks: several updates per exchange."""
+        if self.engine not in ("auto", "columns", "blocks"):
+            raise ValueError(f"unknown engine {self.engine!r}")
+        return self.engine == "blocks" or (self.engine == "auto" and self.niter > self.check_every)
+
     @property
     def earliest_stop(self) -> int:
         return max(10, self.niter // 4)
@@ -115,7 +129,8 @@ def prepare_work(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> tuple[D
     box = grid(groups, work_ranges(taps), opt.block)
     on = KEYS + ["by", "bx"] + AXES
     state = box.join(spread(keyed, *KEYS, "by", "bx"), on, "left")
-    mass = inside_sum(taps, F.col("nz"), F.col("ny"), F.col("nx"))
+    # dense blocks derive the weights themselves
+    mass = F.lit(0.0) if opt.dense else inside_sum(taps, F.col("nz"), F.col("ny"), F.col("nx"))
     state = state.withColumn("_m", mass).withColumn(
         "w", F.when(F.col("_m") > 0.01, 1 / F.col("_m")).otherwise(F.lit(0.0)))
     x0 = {
@@ -257,6 +272,54 @@ def idiv_metric(state: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFram
     return forward_pairs(state, taps, opt).groupBy(*KEYS).agg(F.avg(divergence_of(F.col("d"), e)).alias("metric"))
 
 
+def block_steps(state: DataFrame, taps: Sequence[Tap], k: int, opt: Options, first: int) -> DataFrame:
+    """Updates ``first``..``k`` with one exchange.
+
+    Each block is sent with a halo as wide as all these updates can reach, so
+    its own cells come out exactly as in the column plan.  A block and its
+    halo are bounded by ``dense_block``, whatever the size of the image.
+    """
+    B, steps = opt.dense_block, k - first + 1
+    halo = []
+    for i in (1, 2):
+        lo, hi = reach(taps, i)
+        halo.append(steps * (hi - lo) + max(-lo, hi, 0))
+    job = (list(taps), [momentum_weight(i) for i in range(first, k + 1)], opt.damp_strength)
+    advance = dense.advance
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = tuple(pdf[a].to_numpy() for a in ("z", "y", "x"))
+        own = (at[1] // B == pdf["hby"].iloc[0]) & (at[2] // B == pdf["hbx"].iloc[0])
+        out = pdf.loc[own, ["img", "t", "c", "z", "y", "x", "d", "bg", "sigma"]].copy()
+        xp, xc = pdf["xp"].to_numpy(), pdf["xc"].to_numpy()
+        done = int(pdf["done"].iloc[0])
+        updates = [] if done else job[1]
+        xp, xc, est = advance(
+            at, pdf["d"].to_numpy(dtype="float64"), xp, xc, float(pdf["bg"].iloc[0]), float(pdf["sigma"].iloc[0]),
+            job[0], updates, job[2])
+        out["xp"], out["xc"], out["est"], out["done"] = xp[own], xc[own], est[own], done
+        return out
+
+    src = state.select(*CELL, "d", "bg", "sigma", "xp", "xc", "done")
+    parts = route(src, (-halo[0], halo[0]), (-halo[1], halo[1]), KEYS, B)
+    types = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = ", ".join(f"{n} {types.get(n, 'double')}" for n in [*CELL, "d", "bg", "sigma", "xp", "xc", "est", "done"])
+    return parts.groupBy(*KEYS, "hby", "hbx").applyInPandas(block, schema)
+
+
+def block_metric(state: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFrame:
+    """Divergence from the estimate the last block update left behind."""
+    term = divergence_of(F.col("d"), F.greatest("est", "bg"))
+    return state.filter(F.col("d").isNotNull()).groupBy(*KEYS).agg(F.avg(term).alias("metric"))
+
+
+def legs(opt: Options) -> list[tuple[int, int]]:
+    """First and last update of every exchange; checks end a leg."""
+    if not opt.dense:
+        return [(k, k) for k in range(1, opt.niter + 1)]
+    return [(k, min(k + opt.check_every - 1, opt.niter)) for k in range(1, opt.niter + 1, opt.check_every)]
+
+
 def run(
     state: DataFrame, taps: Sequence[Tap], opt: Options, step=rl_step, metric=idiv_metric
 ) -> Restored:
@@ -278,10 +341,10 @@ def run(
             discard(spark, kept.pop(0))
         return out
 
-    for k in range(1, opt.niter + 1):
-        state = step(state, taps, k, opt)
+    for first, k in legs(opt):
+        state = block_steps(state, taps, k, opt, first) if opt.dense else step(state, taps, k, opt)
         check = opt.track and (k % opt.check_every == 0 or k == opt.niter)
-        if check or k % opt.checkpoint_every == 0:
+        if check or opt.dense or k % opt.checkpoint_every == 0:
             state = save(state)
         if not check:
             continue
@@ -316,7 +379,7 @@ def run(
 def richardson_lucy(cells: DataFrame, taps: Sequence[Tap], **options) -> Restored:
     """Momentum-accelerated multiplicative deblurring with boundary weights."""
     opt = Options(**options)
-    return run(prepare(cells, taps, opt), taps, opt)
+    return run(prepare(cells, taps, opt), taps, opt, metric=block_metric if opt.dense else idiv_metric)
 
 
 def richardson_lucy_tv(
@@ -329,10 +392,11 @@ def richardson_lucy_tv(
     **options,
 ) -> Restored:
     """The same loop with a total-variation factor after every update."""
-    opt = Options(**options)
+    if tv_lambda <= 0:
+        return richardson_lucy(cells, taps, **options)
+    opt = Options(**{**options, "engine": "columns"})
     state, groups = prepare_work(cells, taps, opt)
-    step = tv_step(tv_lambda, axis_scales(pixel_xy, pixel_z), sign, groups) if tv_lambda > 0 else rl_step
-    return run(state, taps, opt, step)
+    return run(state, taps, opt, tv_step(tv_lambda, axis_scales(pixel_xy, pixel_z), sign, groups))
 
 
 def sparse_hessian_deconvolve(
@@ -346,7 +410,7 @@ def sparse_hessian_deconvolve(
     **options,
 ) -> Restored:
     """Alternating data and sparse-Hessian steps with a scaled objective."""
-    opt = Options(**options)
+    opt = Options(**{**options, "engine": "columns"})
     weight, reg = min(max(weight, 0.0), 1.0), min(max(reg, 0.0), 1.0)
     z_scale = axis_scales(pixel_xy, pixel_z)["z"]
     state = prepare(cells, taps, opt)
@@ -372,8 +436,6 @@ def sparse_hessian_deconvolve(
 
 def converged_at(history: DataFrame, niter: int, rel_threshold: float = 0.005) -> DataFrame:
     """First check at which each image meets the stop rule, else ``niter``."""
-    from pyspark.sql import Window
-
     before = F.lag("metric").over(Window.partitionBy(*KEYS).orderBy("iter"))
     h = history.withColumn("_b", before)
     hit = (F.col("_b") > 0) & ((F.col("_b") - F.col("metric")) / F.col("_b") < rel_threshold) & (

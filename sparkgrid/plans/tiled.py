@@ -7,16 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import cloudpickle
-
 from sparkgrid.core import KEYS, extents, settle
 from sparkgrid.operators import tiles as tl
 from sparkgrid.operators.stencil import gaussian_weights
 from sparkgrid.plans import dense
 from sparkgrid.plans.restore import Options, Restored, momentum_weight
 
-# executors need NumPy but not this package
-cloudpickle.register_pickle_by_value(dense)
 
 MARGIN = 16
 #: entries of a kernel shipped to the tasks (32 MB of doubles)
