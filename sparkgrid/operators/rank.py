@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkgrid.core import KEYS, attach, finite, settle
 
 #: buckets per power of two
-RESOLUTION = 256
+RESOLUTION = 1024
 
 
 def bucket_of(v: Column, resolution: int = RESOLUTION) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrid.core import CELL, attach
+from sparkgrid.core import CELL, attach, settle
 
 
 def with_channel_meta(cells: DataFrame, channels: DataFrame) -> DataFrame:
@@ -55,11 +55,19 @@ def dictionary_encode(
     """Evaluate ``expr`` once per distinct value of ``col`` and map it back.
 
     Codes number the distinct values in order within each group of ``keys``.
+    The values are range-partitioned and numbered per partition; the small
+    table of partition sizes gives the starting code, so no group is sorted in
+    one task even without keys.
     """
     keys = list(keys)
     distinct = df.select(*keys, col).distinct()
-    order = Window.partitionBy(*keys).orderBy(col)
-    coded = distinct.withColumn("code", (F.dense_rank().over(order) - 1).cast("long")).withColumn(out, expr(F.col(col)))
+    placed = settle(distinct.repartitionByRange(*keys, col).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(col)) - 1
+    coded = attach(placed.withColumn("_local", local), starts, [*keys, "_part"]).select(
+        *keys, col, (F.col("_start") + F.col("_local")).cast("long").alias("code"), expr(F.col(col)).alias(out))
     return df.join(coded, [*keys, col])
 
 

@@ -46,7 +46,7 @@ def restore_tiled(
     cells: DataFrame,
     kernel: np.ndarray,
     grids: DataFrame | None = None,
-    budget: float = 2e9,
+    budget: float = 5e8,
     tv_lambda: float = 0.0,
     z_scale: float = 1.0,
     sparse: tuple[float, float] | None = None,
