@@ -52,6 +52,16 @@ def settle(df: DataFrame) -> DataFrame:
     return write_aside(df)[0]
 
 
+def reusable(df: DataFrame) -> DataFrame:
+    """Write a derived table aside before several passes over it.
+
+    A plain scan (no exchange in its plan) is cheaper to read again than to
+    copy, so it is returned as it is.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return settle(df) if "Exchange" in plan else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table made by :func:`write_aside`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrid.core import KEYS, attach, finite, settle
+from sparkgrid.core import KEYS, attach, finite, reusable, settle
 
 #: buckets per power of two
 RESOLUTION = 1024
@@ -145,6 +145,7 @@ def lowest_fraction(cells: DataFrame, frac: float, keys: Sequence[str] = KEYS) -
 def noise_sigma(cells: DataFrame, frac: float = 0.25, keys: Sequence[str] = KEYS) -> DataFrame:
     """1.4826 x median absolute deviation of the lowest share, floored at 1e-12."""
     keys = list(keys)
+    cells = reusable(cells)
     low = settle(lowest_fraction(cells, frac, keys))
     mid = F.floor((F.col("total") - 1) / 2)
     med = order_stats(low, {"med": mid}, keys, weight="copies").select(*keys, "med")

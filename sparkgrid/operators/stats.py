@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, CELL, KEYS, attach, finite
+from sparkgrid.core import AXES, CELL, KEYS, attach, finite, reusable
 from sparkgrid.operators.rank import percentiles
 
 
 def array_stats(cells: DataFrame, keys: Sequence[str] = KEYS, approx: int | None = None) -> DataFrame:
     """Min, max, mean and percentiles of finite cells; non-zero share of all cells."""
     keys = list(keys)
+    cells = reusable(cells)
     v = F.when(finite("v"), F.col("v"))
     base = cells.groupBy(*keys).agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, extents
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, extents, reusable
 from sparkgrid.functions.scalar import anscombe, clip, inverse_anscombe
 from sparkgrid.operators.neighbors import scatter, stencil
 from sparkgrid.operators.rank import background_level
@@ -222,7 +222,7 @@ def box_mean(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> Da
 
 def local_background(cells: DataFrame, radius: int, frac: float = 0.01) -> DataFrame:
     """Level of the darkest neighbourhoods."""
-    return background_level(box_mean(cells, radius), frac)
+    return background_level(reusable(box_mean(cells, radius)), frac)
 
 
 def anscombe_prefilter(cells: DataFrame, sigma: float, axes: Sequence[str] = ("y", "x")) -> DataFrame:

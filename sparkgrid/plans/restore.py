@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, discard, fdiv, grid, settle, spread, write_aside
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, discard, fdiv, grid, reusable, settle, spread, write_aside
 from sparkgrid.functions.scalar import damped, damping_exponent
 from sparkgrid.operators import kernel as kn
 from sparkgrid.operators.conv import flip, inside_sum, work_ranges
@@ -103,7 +103,7 @@ def prepare(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> DataFrame:
 
 def prepare_work(cells: DataFrame, taps: Sequence[Tap], opt: Options) -> tuple[DataFrame, DataFrame]:
     """The state and the settled one-row-per-image table behind it."""
-    base = cells.select(*CELL, "v")
+    base = reusable(cells.select(*CELL, "v"))
     if isinstance(opt.background, DataFrame):
         bg = opt.background.select(*KEYS, F.greatest("background", F.lit(1e-6)).alias("bg"))
     elif opt.background == "auto":
@@ -455,6 +455,7 @@ PRESETS = {
 
 def preset_background(cells: DataFrame, radius: int, factor: float) -> DataFrame:
     """Lower of the local and the global background, scaled, per image."""
+    cells = reusable(cells)
     local = local_background(cells, radius).withColumnRenamed("background", "_l")
     both = background_level(cells).join(local, KEYS)
     return both.select(*KEYS, F.greatest(F.least("background", "_l") * factor, F.lit(1e-6)).alias("background"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import KEYS, extents, settle
+from sparkgrid.core import KEYS, extents, reusable, settle
 from sparkgrid.operators import tiles as tl
 from sparkgrid.operators.stencil import gaussian_weights
 from sparkgrid.plans import dense
@@ -62,6 +62,7 @@ def restore_tiled(
     if isinstance(opt.background, DataFrame):
         raise ValueError("tiles take 'auto' or one number as background")
     overlap = max(kernel.shape[-2:]) // 2
+    cells = reusable(cells)
     if grids is None:
         grids = auto_grid(extents(cells), budget, max(kernel.shape[-2:]))
     small = F.least(F.col("h") / F.col("ny"), F.col("w") / F.col("nx")) < max(kernel.shape[-2:])
