@@ -152,3 +152,52 @@ def test_best_grid_prefers_square_tiles(spark):
     got = {r.img: (r.ny, r.nx) for r in tl.best_tile_grid(df).collect()}
     # 1 x 6 tiles are 100 x 50, 2 x 3 tiles 50 x 100: equally square, the first wins
     assert got == {"a": (1, 6), "b": (1, 1)}
+
+
+def test_tile_grid_matches_tiles_solved_one_by_one(spark, to_cells, to_array):
+    a = blurred((30, 33), 7)
+    ny, nx, overlap, margin = 2, 3, 2, 4
+    num, den = np.zeros_like(a), np.zeros_like(a)
+    for iy in range(ny):
+        for ix in range(nx):
+            core = [(round(i * n / k), round((i + 1) * n / k)) for i, n, k in ((iy, 30, ny), (ix, 33, nx))]
+            ext = [(max(lo - overlap, 0), min(hi + overlap, n)) for (lo, hi), n in zip(core, a.shape)]
+            far = [(max(lo - margin, 0), min(hi + margin, n)) for (lo, hi), n in zip(ext, a.shape)]
+            part = a[far[0][0]: far[0][1], far[1][0]: far[1][1]]
+            low = np.sort(part.ravel())[: max(int(part.size * 0.1), 1)]
+            done, _ = spectral_rl(part, K, 3, max(low[(len(low) - 1) // 2], 1e-6))
+            weight = 1.0
+            for ax, ((c0, c1), (e0, e1)) in enumerate(zip(core, ext)):
+                w = np.ones(e1 - e0)
+                if c0 > e0:
+                    w[: c0 - e0] *= np.linspace(0, 1, c0 - e0 + 1)[1:]
+                if e1 > c1:
+                    w[c1 - e0:] *= np.linspace(1, 0, e1 - c1 + 1)[:-1]
+                weight = weight * (w[:, None] if ax == 0 else w[None, :])
+            at = tuple(slice(lo, hi) for lo, hi in ext)
+            cut = tuple(slice(e0 - f0, e1 - f0) for (e0, e1), (f0, _) in zip(ext, far))
+            num[at] += weight * done[cut]
+            den[at] += weight
+    grid = spark.createDataFrame([("a", 30, 33, ny, nx)], "img string, h int, w int, ny int, nx int")
+    got = to_array(tiled.restore_tiled(to_cells(a=a), taps_block(K), grid, niter=3, margin=margin).cells)[0]
+    assert np.allclose(got, num / den, atol=1e-8)
+
+
+def test_preset_wires_kernel_background_damping_and_offset(spark, to_cells, to_array):
+    cells = to_cells(a=blurred((9, 10), 9))
+    g = [np.exp(-0.5 * i * i) for i in (-1, 0, 1)]
+    z = [np.exp(-0.5 * (i / 4) ** 2) for i in range(-10, 11)]
+    k3 = spark.createDataFrame([("k", *map(float, t)) for t in kn.separable(z, g, g)],
+                               "kid string, dz double, dy double, dx double, w double").select(
+        "kid", *[F.col(c).cast("int").alias(c) for c in ("dz", "dy", "dx")], "w")
+    got = rs.restore_2d_preset(cells, k3, "strong", radius=2, niter=2, track=False)
+    want = rs.richardson_lucy(
+        cells, kn.separable([1.0], g, g), niter=2, track=False, damping=1.0, offset=1.5,
+        background=rs.preset_background(cells, 2, 0.9))
+    assert np.allclose(to_array(got.cells), to_array(want.cells), atol=1e-8)
+
+
+def test_benchmark_reports_each_method(spark, to_cells):
+    df = batch.benchmark_methods(spark, to_cells(a=blurred((6, 6))), K, niter=1, methods=["rl"], track=False, crop=False)
+    row = df.first().asDict()
+    assert row["label"] == "rl_1i" and row["channels_compared"] == 1 and row["time_s"] > 0
