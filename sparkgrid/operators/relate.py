@@ -68,7 +68,8 @@ def dictionary_encode(
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(col)) - 1
     coded = attach(placed.withColumn("_local", local), starts, [*keys, "_part"]).select(
         *keys, col, (F.col("_start") + F.col("_local")).cast("long").alias("code"), expr(F.col(col)).alias(out))
-    return df.join(coded, [*keys, col])
+    # a frequent value must not pull its rows into one task, so no plain join
+    return attach(df, coded, [*keys, col])
 
 
 def comparison_matrix(results: DataFrame, by: Sequence[str] = ("img",)) -> DataFrame:

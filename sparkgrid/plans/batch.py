@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrid.core import settle
+from sparkgrid.core import attach, settle
 from sparkgrid.functions.scalar import per_channel_param
 from sparkgrid.operators.neighbors import Tap
 from sparkgrid.operators.shape import center_crop, project_z
@@ -78,7 +78,7 @@ def restore_series(
 def restore_plate(fields: DataFrame, cells: DataFrame, taps: Sequence[Tap], method: str = "rl", **params) -> DataFrame:
     """Restore the fields of plates; ``img`` is plate/row/col/field."""
     ids = fields.select(F.concat_ws("/", "plate", "row", "col", "field").alias("img")).distinct()
-    return restore_series(cells.join(ids, "img", "left_semi"), taps, method, **params)
+    return restore_series(attach(cells, ids, ["img"]), taps, method, **params)
 
 
 def benchmark_methods(

@@ -75,8 +75,9 @@ def restore_tiled(
         rel_threshold=opt.rel_threshold, check_every=opt.check_every,
         prefilter=gaussian_weights(opt.prefilter_sigma) if opt.prefilter_sigma > 0 else None,
         lowpass=gaussian_weights(8.0), tv_lambda=tv_lambda, z_scale=z_scale, sparse=sparse)
-    shipped = cells.sparkSession.sparkContext.broadcast(job)
-    solve = dense.solve
+    # a plain dict travels; the class itself goes by value with the task
+    shipped = cells.sparkSession.sparkContext.broadcast(vars(job))
+    solve, settings = dense.solve, dense.Job
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         at = [pdf[a].to_numpy() for a in ("z", "y", "x")]
@@ -84,7 +85,7 @@ def restore_tiled(
         pos = tuple(i - o for i, o in zip(at, low))
         block = np.zeros([int(i.max()) + 1 for i in pos])
         block[pos] = pdf["v"].to_numpy()
-        done, metric, used = solve(block, shipped.value)
+        done, metric, used = solve(block, settings(**shipped.value))
         out = pdf[["img", "t", "c", "z", "y", "x"]].copy()
         out["v"] = done[pos]
         for k in ("iy", "ix"):

@@ -105,3 +105,18 @@ def test_stream_results_survive_a_rerun(spark, to_cells, tmp_path):
         live = spark.readStream.schema(cells.schema).parquet(src)
         restore_stream(live, taps_block(K35), out, str(tmp_path / run), niter=1).awaitTermination()
     assert spark.read.parquet(out).count() == 36
+
+
+def test_dense_code_loads_without_this_package(tmp_path):
+    """Executors that do not have the package installed can still run tiles."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from sparkgrid.plans import dense, tiled  # noqa: F401  (registers the module)
+
+    f = tmp_path / "code"
+    f.write_bytes(cloudpickle.dumps((dense.solve, dense.Job, dense.advance)))
+    code = f"import pickle, pyspark.cloudpickle; pickle.load(open({str(f)!r}, 'rb'))"
+    subprocess.run([sys.executable, "-c", code], cwd="/", check=True, env={"PATH": "/usr/bin"})
