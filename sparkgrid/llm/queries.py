@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrid.llm import shards
+from sparkgrid.llm import mixing, shards
 from sparkgrid.llm.tables import read
 
 QUERIES: dict = {}
@@ -22,3 +22,75 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     eight = dict.fromkeys(range(8), 1.0)
     placed = shards.shard_documents(read(spark, sf_dir), eight, eight | {8: 1.0})
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+MIX = mixing.Mix(
+    share=0.7, epochs=3, seed=7, domains={"web": 5, "books": 3, "forum": 2},
+    langs={"en": 5, "de": 2, "fr": 2, "es": 2}, sources={"src0": 3},
+)
+
+
+@query
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read(spark, sf_dir), MIX)
+    return mixed.select(
+        "row.doc_id", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"),
+        F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"),
+    )
+
+
+def mix_sql(mix: mixing.Mix, table: str = "documents") -> str:
+    """The mixture of ``table`` in DuckDB's SQL: CTEs that end in ``mixed``."""
+    def weight(column: str, weights: dict[str, int]) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
+        return f"CASE {column} {cases} ELSE 1 END" if cases else "1"
+
+    levels = ["dom", "lng", "src"]
+    weights = [weight(c, w) for c, w in zip(levels, mix.weights(), strict=True)]
+    out = f"""
+    rows AS (
+        SELECT *, CASE coalesce(try_cast(regexp_extract(coalesce(source, '(none)'), '([0-9]{{1,9}})$', 1) AS INT), 0) % 3
+                WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'forum' END AS dom,
+            coalesce(lang, '(none)') AS lng, coalesce(source, '(none)') AS src,
+            coalesce(CAST(doc_id AS VARCHAR), '(none)') AS k,
+            CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tok
+        FROM {table}),
+    leaves AS (
+        SELECT dom, lng, src, CAST(sum(tok) AS BIGINT) AS tokens,
+            CASE WHEN ({weights[0]}) * ({weights[1]}) * ({weights[2]}) > 0
+                THEN CAST(sum(tok) AS BIGINT) * {mix.epochs} ELSE 0 END AS cap
+        FROM rows GROUP BY dom, lng, src),
+    given0 AS (
+        SELECT CAST(least(sum(cap), floor(CAST(sum(tokens) AS DOUBLE) * {float(mix.share)})) AS BIGINT) AS given FROM leaves)"""
+    for depth in range(3):
+        keys, above = ", ".join(levels[: depth + 1]), ", ".join(levels[:depth])
+        using = f"JOIN given{depth} USING ({above})" if depth else f"CROSS JOIN given{depth}"
+        out += f""",
+    nodes{depth} AS (
+        SELECT {keys}, cap, greatest({weights[depth]}, 1) AS weight, given AS budget
+        FROM (SELECT {keys}, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY {keys}) {using}),
+    levels{depth} AS (
+        SELECT *, CAST(budget - coalesce(sum(cap) OVER (PARTITION BY {above or '0'} ORDER BY cap / weight, {keys}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(weight) OVER (PARTITION BY {above or '0'} ORDER BY cap / weight, {keys}
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM nodes{depth}),
+    given{depth + 1} AS (
+        SELECT {keys}, least(cap, CAST(floor(weight * max(level) OVER (PARTITION BY {above or '0'}) + 1e-6) AS BIGINT)) AS given
+        FROM levels{depth})"""
+    return out + f""",
+    plan AS (
+        SELECT dom, lng, src, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole,
+            CASE WHEN tokens > 0 THEN given % tokens ELSE given END AS rest
+        FROM leaves JOIN given3 USING (dom, lng, src)),
+    placed AS (
+        SELECT *, sum(tok) OVER (PARTITION BY dom, lng, src ORDER BY md5('{mix.seed}:' || whole || ':' || k), tok
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM rows JOIN plan USING (dom, lng, src)),
+    mixed AS (
+        SELECT *, unnest(range(CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch
+        FROM placed)"""
+
+
+ORACLES["op10_mix"] = f"""
+WITH {mix_sql(MIX).strip()}
+SELECT doc_id, epoch, tok AS tokens, dom AS domain, lng AS lang, src AS source FROM mixed"""
