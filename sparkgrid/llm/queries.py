@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrid.llm import mixing, shards
+from sparkgrid.llm import mixing, shards, toxicity
 from sparkgrid.llm.tables import read
 
 QUERIES: dict = {}
@@ -94,3 +94,13 @@ def mix_sql(mix: mixing.Mix, table: str = "documents") -> str:
 ORACLES["op10_mix"] = f"""
 WITH {mix_sql(MIX).strip()}
 SELECT doc_id, epoch, tok AS tokens, dom AS domain, lng AS lang, src AS source FROM mixed"""
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    model = toxicity.fit_documents(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
