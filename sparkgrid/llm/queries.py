@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrid.llm import mixing, shards, simhash, toxicity
+from sparkgrid.llm import mixing, secrets, shards, simhash, toxicity
 from sparkgrid.llm.tables import read
 
 QUERIES: dict = {}
@@ -111,3 +111,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir)).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
     )
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in secrets.BASE]
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secrets.scan(read(spark, sf_dir)).select(
+        "doc_id", *map(count, base), F.sha2(secrets.written(own), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
