@@ -175,11 +175,12 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return scan_rows(docs, rules, ["doc_id"]).select("row.doc_id", "text", "spans")
 
 
-def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame:
+def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str], mark: str | None = None) -> DataFrame:
     """``row`` (a struct of the ``carry`` columns), ``text`` and ``spans`` of every row.
 
     A rule's spans are its leftmost non-overlapping matches in the whole text
-    (code points, end exclusive), by start and then rule order.  Rules with
+    (code points, end exclusive), by start and then rule order.  With ``mark``
+    the text returned has it in place of the spans.  Rules with
     mandatory trigrams run on the documents the index names, others on all.
 
     A null text is empty and has no spans.  Rows without doc_id are verified
@@ -199,7 +200,7 @@ def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame
         compiled = [re.compile(r.pattern) for r in rules]
         kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans = []
+            spans, shown = [], []
             columns = (batch.column(c).to_pylist() for c in ("text", "kinds", "anonymous"))
             for text, kinds, anonymous in zip(*columns, strict=True):
                 own = [
@@ -208,11 +209,22 @@ def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame
                     for start, end in matches(rule, compiled[i], text)
                 ]
                 spans.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(own)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(spans, kind_of)], names=["row", "text", "spans"])
+                shown.append(text if mark is None else replaced(text, [(s, e) for s, _, e in sorted(own)], mark))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shown, pa.string()), pa.array(spans, kind_of)], names=["row", "text", "spans"])
 
     return rows.mapInArrow(verify, schema)
 
 
+def replaced(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each group of overlapping spans, given by start, replaced by ``mark``."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def written(spans: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -224,26 +236,9 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]") -
     Overlapping spans are replaced together.  Rows without spans, and so null
     texts, stay as they are, as do all other columns.
     """
-    scanned = scan_rows(docs, rules, docs.columns)
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<start:int,end:int>>"),
-        lambda got, s: F.when(
-            (F.size(got) > 0) & (F.try_element_at(got, F.lit(-1))["end"] > s["start"]),
-            F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(
-                F.try_element_at(got, F.lit(-1))["start"].alias("start"),
-                F.greatest(F.try_element_at(got, F.lit(-1))["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(got, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    text = F.col("text")
-    cut = F.aggregate(
-        merged, zero,
-        lambda got, s: F.struct(
-            F.concat(got["done"], F.substr(text, got["at"] + 1, s["start"] - got["at"]), F.lit(mark)).alias("done"), s["end"].alias("at")),
-        lambda got: F.concat(got["done"], F.substr(text, got["at"] + 1)),
-    )
+    scanned = scan_rows(docs, rules, docs.columns, mark)
     changed = F.size("spans") > 0
-    new = {"text": cut, "n_chars": F.char_length(cut)}
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
     return scanned.select(*[
         F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c)
         for c in docs.columns
