@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import mixing, secrets, shards, simhash, toxicity
+from sparkgrid.llm import bpe, mixing, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
+#: byte-level BPE of 50,257 ids
+TOKENIZER = tokenizer_file("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -122,3 +126,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, base), F.sha2(secrets.written(own), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfiles.new_folder(spark)
+    manifest = tokenfiles.write_tokens(read(spark, sf_dir), TOKENIZER, folder, end_id=0)
+    return tokenfiles.checksums(manifest, folder)
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(read(spark, sf_dir), TOKENIZER)
+    return bpe.digests(bpe.decode_documents(encoded, TOKENIZER))
