@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import bpe, mixing, secrets, shards, simhash, tokenfiles, toxicity
+from sparkgrid.llm import bpe, fingerprints, mixing, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
 #: byte-level BPE of 50,257 ids
@@ -139,3 +139,8 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(read(spark, sf_dir), TOKENIZER)
     return bpe.digests(bpe.decode_documents(encoded, TOKENIZER))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir))
