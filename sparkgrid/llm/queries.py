@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import bpe, fingerprints, mixing, quality, secrets, shards, simhash, tokenfiles, toxicity
+from sparkgrid.llm import bpe, fingerprints, mixing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
 #: byte-level BPE of 50,257 ids
@@ -151,3 +151,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir)
     model = quality.fit_documents(docs, read(spark, sf_dir, "labels"))
     return quality.judge_documents(docs, model)
+
+
+@query
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read(spark, sf_dir))
