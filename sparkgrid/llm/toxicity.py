@@ -282,7 +282,16 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str] | None = Non
     A null or empty text has the score of a text without toxic words.  Labels,
     lang, source and doc_id are not read.  Rows stay rows, repeated or not.
     """
-    carry = carry or ["doc_id"]
+    return score_rows(docs, model, carry or ["doc_id"]).select("row.*", "score")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose score is below ``THRESHOLD``, with all their columns."""
+    return score_rows(docs, model, docs.columns).filter(F.col("score") < THRESHOLD).select("row.*")
+
+
+def score_rows(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+    """``row``, a struct of the ``carry`` columns, and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one bounded weight table
     kept = [docs[f"`{c}`"] for c in carry]
     rows = docs.select(F.struct(*kept).alias("row"), text_of(docs).alias("text"))
@@ -295,4 +304,4 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str] | None = Non
             scores = np.concatenate([found.scores(coder, texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], names=["row", "score"])
 
-    return rows.mapInArrow(score, schema).select("row.*", "score")
+    return rows.mapInArrow(score, schema)
