@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkgrid.core import reusable
 from sparkgrid.llm.tables import partitions, text_of
-from sparkgrid.llm.tokenize import words_of
+from sparkgrid.llm.tokenize import byte_characters, words_of
 
 #: characters after which a task starts a new block of documents
 BLOCK = 32_000_000
@@ -89,13 +90,11 @@ def encode_words(words: DataFrame, tokenizer: str, slices: int) -> DataFrame:
             for row in batch.to_pylist():
                 if row["slice"] != current:
                     current, known = row["slice"], {}
-                new = [w for w in row["words"] if w not in known]
-                for i in range(0, len(new), 4096):
-                    part = new[i : i + 4096]
-                    known.update(zip(part, (np.array(ids, dtype="<u4") for ids in coder.encode(part)), strict=True))
+                for word in row["words"]:
+                    if word not in known:
+                        known[word] = coder.encode(word)
                 ids = [known[w] for w in row["words"]]
-                flat = np.concatenate(ids)
-                packed = flat.astype("<u2") if coder.size <= 1 << 16 else flat
+                packed = np.fromiter(chain.from_iterable(ids), dtype="<u2" if coder.size <= 1 << 16 else "<u4")
                 yield entry(row["block"], row["check"], 0, [None], [row["numbers"]], [planes(np.array([len(i) for i in ids]))], [packed.tobytes()])
 
     return words.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(encode, ENTRIES)
@@ -188,16 +187,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK)
 
 
 def pieces(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The id-to-piece table: all pieces' bytes, and start and size by id.
-
-    Byte-level vocabularies write bytes as printable characters: printable
-    Latin-1 bytes as themselves, the others from U+0100 on, in order.
-    """
+    """The id-to-piece table: all pieces' bytes, and start and size by id."""
     with open(tokenizer, encoding="utf-8") as file:
         spec = json.load(file)
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    byte_of = {chr(b): b for b in shown}
-    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
     table = {i: bytes(byte_of[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
     table |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
     found = [table.get(i, b"") for i in range(max(table) + 1)]

@@ -66,11 +66,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         ids, sizes = [], []
         with fs.open_output_stream(f"{name}.tokens{own}") as out:
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                for i in range(0, len(texts), 128):
-                    for packed in coder.encode(texts[i : i + 128]):
-                        out.write(packed + end)
-                        sizes.append((len(packed) + len(end)) // width.itemsize)
+                for text in batch.column("text"):
+                    packed = coder.encode(text.as_py()) + end
+                    out.write(packed)
+                    sizes.append(len(packed) // width.itemsize)
                 ids.append(batch.column("doc_id"))
         column = pa.concat_arrays([pa.array([], pa.int64()), *ids])
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")

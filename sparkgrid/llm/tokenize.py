@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 
 import numpy as np
 import regex
@@ -13,6 +14,17 @@ from tokenizers import Tokenizer
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_characters() -> list[str]:
+    """How byte-level vocabularies write each byte.
+
+    Printable Latin-1 characters stand for themselves, the other bytes for
+    U+0100 and following, in order.
+    """
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Words:
     """A tokenizer file taken apart: texts are split into words, words encoded alone.
 
@@ -35,6 +47,9 @@ class Words:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.marks = special
         self.find = regex.compile(SPLIT).findall
+        self.shown = dict(enumerate(byte_characters()))
+        self.ids_of_marks = {m: [self.tokenizer.token_to_id(m)] for m in special}
+        self.model = self.tokenizer.model
 
     def split(self, text: str) -> list[str]:
         if self.special is None or not any(m in text for m in self.marks):
@@ -42,9 +57,11 @@ class Words:
         parts = self.special.split(text)  # odd places are the special tokens
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.find(part))]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word alone."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(self, word: str) -> list[int]:
+        """Ids of one word: the library's model on the word's bytes, written as the vocabulary writes them."""
+        if word in self.ids_of_marks:
+            return self.ids_of_marks[word]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
 
 
 @functools.cache
@@ -53,28 +70,29 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-class Encoder:
+class Encoder(dict):
     """Whole texts to ids; each distinct word of the recent texts is encoded once.
 
-    At most ``limit`` words are remembered, after which the memory starts afresh.
+    Maps words to their packed ids.  At most about ``limit`` words are
+    remembered, after which the memory starts afresh.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
+        super().__init__()
         self.words, self.limit = words_of(path), limit
         self.width = np.dtype("<u2") if self.words.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed unsigned integers of ``width``."""
-        split = [self.words.split(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, ids in zip(part, self.words.encode(part), strict=True):
-                self.known[word] = np.array(ids, dtype=self.width).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.code = "H" if self.width.itemsize == 2 else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.words.encode(word)
+        packed = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as packed unsigned integers of ``width``."""
+        if len(self) > self.limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.words.split(text)))
 
 
 @functools.cache

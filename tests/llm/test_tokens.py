@@ -24,7 +24,7 @@ def library_ids(text):
 def test_words_encoded_alone_give_the_text_s_ids(text):
     words = Words(FILE)
     text = text.encode("utf-8", "ignore").decode()
-    assert [i for w in words.encode(words.split(text)) for i in w] == library_ids(text)
+    assert [i for w in words.split(text) for i in words.encode(w)] == library_ids(text)
 
 
 def test_token_files_round_trip(spark, edges):
