@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with the decoded text's and the ids' checksums."""
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs, TOKENIZER), TOKENIZER))
+    return bpe.digests(bpe.round_trip(docs, TOKENIZER))
 
 
 STAGES = [

@@ -18,6 +18,8 @@ from sparkgrid.llm.tokenize import byte_characters, words_of
 
 #: characters after which a task starts a new block of documents
 BLOCK = 32_000_000
+#: documents that a task handles at a time
+FEW = 500
 WORDS = "block long, slice int, check long, numbers binary, words array<string>"
 ENTRIES = "block long, check long, kind int, doc_id long, numbers binary, sizes binary, ids binary"
 
@@ -25,13 +27,13 @@ ENTRIES = "block long, check long, kind int, doc_id long, numbers binary, sizes
 def number_blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int) -> Iterator[tuple[int, dict, list]]:
     """Split the task's documents into words and number the words of each block as they come.
 
-    Yields (block, numbers, [(doc_id, word numbers)]) at the end of every batch;
+    Yields (block, numbers, [(doc_id, word numbers)]) every few documents;
     ``numbers`` maps the block's words so far to their number.
     """
     at, size = 0, 0
     split = words_of(tokenizer).split
     numbers: dict[str, int] = {}
-    for batch in batches:
+    for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
         found = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = split(text)
@@ -40,8 +42,7 @@ def number_blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int)
                     numbers[word] = len(numbers)
             found.append((doc_id, np.fromiter(map(numbers.__getitem__, words), dtype="<u4", count=len(words))))
             size += len(text)
-        if found:
-            yield batch.column("task")[0].as_py() << 20 | at, numbers, found
+        yield batch.column("task")[0].as_py() << 20 | at, numbers, found
         if size > limit:
             at, size, numbers = at + 1, 0, {}
 
@@ -86,7 +87,7 @@ def encode_words(words: DataFrame, tokenizer: str, slices: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words_of(tokenizer)
         current, known = None, {}
-        for batch in batches:
+        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             for row in batch.to_pylist():
                 if row["slice"] != current:
                     current, known = row["slice"], {}
@@ -140,7 +141,20 @@ def batches_of_lists(names: list[str], ids: list, lists: list[np.ndarray], most:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK) -> DataFrame:
-    """(doc_id, ids) of every row, ids as the tokenizer file encodes the whole text.
+    """(doc_id, ids) of every row, ids as the tokenizer file encodes the whole text; see :func:`numbered_words`."""
+    return numbered_words(docs, tokenizer, block_chars).mapInArrow(assembler(tokenizer), "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK) -> DataFrame:
+    """(doc_id, ids, decoded): :func:`encode_documents` and :func:`decode_documents` without leaving the task between."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer))
+    assemble = assembler(tokenizer)
+    both = lambda batches: decoded_batches(assemble(batches), shared.value)
+    return numbered_words(docs, tokenizer, block_chars).mapInArrow(both, "doc_id long, ids array<int>, decoded string")
+
+
+def numbered_words(docs: DataFrame, tokenizer: str, block_chars: int) -> DataFrame:
+    """Blocks' dictionaries of ids beside their documents as word numbers, together by block.
 
     A task reads documents in blocks and numbers the distinct words of each.
     The words travel to their slice of the word table, where each distinct word
@@ -156,12 +170,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK)
     rows = rows.withColumn("task", F.spark_partition_id())  # the same in both passes over a table
     table = encode_words(words_of_blocks(rows, tokenizer, slices, block_chars), tokenizer, slices)
     numbered = number_documents(rows, tokenizer, block_chars)
-    met = table.unionByName(numbered).repartition(slices, "block").sortWithinPartitions("block", "kind")
+    return table.unionByName(numbered).repartition(slices, "block").sortWithinPartitions("block", "kind")
+
 
+def assembler(tokenizer: str):
+    """The task that puts a block's ids in the places of its documents' word numbers."""
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = words_of(tokenizer).size <= 1 << 16
         current, parts, ready = None, [], None
-        for batch in batches:
+        for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
             ids, lists = [], []
             for row in batch.to_pylist():
                 if row["block"] != current:
@@ -183,7 +200,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK)
                 lists.append(ragged(ready[0], ready[1][own], ready[2][own]) if len(own) else np.zeros(0, np.int32))
             yield from batches_of_lists(["doc_id", "ids"], ids, lists)
 
-    return met.mapInArrow(assemble, "doc_id long, ids array<int>")
+    return assemble
 
 
 def pieces(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,19 +221,20 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     Bytes that are no UTF-8 become U+FFFD; no ids give an empty text.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer))
+    return encoded.mapInArrow(lambda batches: decoded_batches(batches, shared.value), "doc_id long, ids array<int>, decoded string")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, size = shared.value
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            texts = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                own = values[a:b]
-                texts.append(ragged(flat, start[own], size[own]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.mapInArrow(decode, "doc_id long, ids array<int>, decoded string")
+
+def decoded_batches(batches: Iterator[pa.RecordBatch], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Join ids to pieces and read the pieces of a document as UTF-8."""
+    flat, start, size = table
+    for batch in batches:
+        lists = batch.column("ids")
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        texts = []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            own = values[a:b]
+            texts.append(ragged(flat, start[own], size[own]).tobytes().decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def digests(decoded: DataFrame) -> DataFrame:

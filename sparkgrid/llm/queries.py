@@ -137,8 +137,7 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(read(spark, sf_dir), TOKENIZER)
-    return bpe.digests(bpe.decode_documents(encoded, TOKENIZER))
+    return bpe.digests(bpe.round_trip(read(spark, sf_dir), TOKENIZER))
 
 
 @query
