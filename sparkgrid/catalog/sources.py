@@ -129,11 +129,11 @@ def _s10(spark, sf):
     xml = F.concat(
         F.lit('<ome:OME xmlns:ome="urn:ome">'),
         f('<ome:Instrument ID="I:0"><ome:Objective LensNA="%s" Immersion="Oil"/></ome:Instrument>', (s / 50).cast("string")),
-        F.lit('<ome:Image ID="G:0">'), F.when(s % 3 > 0, F.lit('<ome:ObjectiveSettings RefractiveIndex="1.33"/>')).otherwise(F.lit("")),
+        F.lit('<ome:Instrument ID="I:1"><ome:Objective LensNA="9.9" Immersion="Air"/></ome:Instrument><ome:Image ID="G:0">'), F.when(s % 3 > 0, F.lit('<ome:ObjectiveSettings RefractiveIndex="1.33"/>')).otherwise(F.lit("")),
         f('<ome:Pixels PhysicalSizeX="%s" SizeX="%d">', F.col("p_retailprice").cast("string"), s),
         f('<ome:Channel Name="%s" EmissionWavelength="%d"/>', F.col("p_brand"), s + 500),
         f('<ome:Channel Name="b" AcquisitionMode="%s"/>', F.when(s % 2 == 0, F.lit("SpinningDiskConfocal")).otherwise(F.lit("WideField"))),
-        F.lit("</ome:Pixels></ome:Image></ome:OME>"))
+        F.lit('</ome:Pixels></ome:Image><ome:Image ID="G:1"><ome:Pixels PhysicalSizeX="7" SizeX="7"/></ome:Image></ome:OME>'))
     m = md.xml_metadata(fx.table(spark, sf, "part").select("p_partkey", xml.alias("xml")))
     return m.select("p_partkey", "na", "immersion", "refractive_index", "pixel_size_x", "pixel_size_z", "size_x", "size_t",
                     F.size("channels").cast("long").alias("n_channels"), F.col("channels")[0]["name"].alias("name0"),
@@ -149,6 +149,20 @@ def _s11(spark, sf):
     return spark.read.parquet(path).select("img", "c", "z", "y", "x", "v", "level")
 
 
+@query("s11_write_time_points", """
+SELECT printf('%03d', o_custkey % 9) AS img, year(o_orderdate)::INT - 1990 AS t, 0::INT AS c, (o_orderkey % 7)::INT AS x, sum(o_orderkey)::DOUBLE AS v
+FROM orders GROUP BY ALL""")
+def _s11b(spark, sf):
+    """Time points written in turn stay beside each other, and image names stay text."""
+    path = shared_folder(spark)
+    cells = fx.table(spark, sf, "orders").groupBy(
+        F.lpad((F.col("o_custkey") % 9).cast("string"), 3, "0").alias("img"), (F.year("o_orderdate") - 1990).alias("t"), F.lit(0).alias("c"),
+        F.lit(0).alias("z"), F.lit(0).alias("y"), (F.col("o_orderkey") % 7).cast("int").alias("x")).agg(F.sum("o_orderkey").cast("double").alias("v"))
+    cs.write_cells(cells.filter("t % 2 = 0"), path)
+    cs.write_cells(cells.filter("t % 2 = 1"), path)
+    return cs.read_cells(spark, path).select("img", "t", "c", "x", "v")
+
+
 @query("s12_metrics_csv", """
 SELECT event_type AS label, '' AS device, printf('%.2f', round(avg(value), 9)) AS time_s, '0.00' AS cpu_percent_avg,
   printf('%.2f', max(value)) AS detail_energy_mean FROM events GROUP BY event_type""")
@@ -164,10 +178,10 @@ sl AS (SELECT img, unnest(range(n))::INT AS c FROM im),
 j AS (SELECT s.img, s.c, coalesce(h.name, 'Ch' || s.c) AS name, h.emission, h.excitation FROM sl s LEFT JOIN channels h USING (img, c)),
 l AS (SELECT img, string_agg(name, ',' ORDER BY c) AS names, string_agg(emission::INT::VARCHAR, ',' ORDER BY c) AS em,
   string_agg(excitation::INT::VARCHAR, ',' ORDER BY c) AS ex FROM j GROUP BY img)
-SELECT img, names, coalesce(em, '') AS emission, coalesce(ex, '') AS excitation,
-  CASE WHEN n > 3 THEN 'NA=1.4; ' ELSE '' END || 'RI=1.515; Microscope=confocal' AS description FROM im JOIN l USING (img)""")
+SELECT img, names, CASE WHEN n > 0 THEN coalesce(em, '') END AS emission, CASE WHEN n > 0 THEN coalesce(ex, '') END AS excitation,
+  CASE WHEN n > 3 THEN 'NA=1.4; ' ELSE '' END || 'RI=1.515; Microscope=confocal' AS description FROM im LEFT JOIN l USING (img)""")
 def _s13(spark, sf):
-    im = fx.channels(spark, sf).groupBy("img").agg((F.sum("n") % 8).cast("int").alias("n")).filter("n > 0").select(
+    im = fx.channels(spark, sf).groupBy("img").agg((F.sum("n") % 8).cast("int").alias("n")).select(
         "img", "n", F.when(F.col("n") > 3, F.lit(1.4)).alias("na"), F.lit(1.515).alias("refractive_index"),
         F.lit("confocal").alias("microscope_type"), F.lit(None).cast("double").alias("magnification"),
         F.lit(None).cast("string").alias("immersion"))

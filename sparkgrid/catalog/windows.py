@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkgrid import fixtures as fx
@@ -131,7 +132,7 @@ def filter_sql(src: str, out: str, axis: str, weights: list[float]) -> str:
     pos = f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > s.n - 1 THEN 2 * (s.n - 1) - ({at}) ELSE {at} END"
     same = " AND ".join(f"q.{a} = s.{a}" for a in ("img", "c", "z", "y", "x") if a != axis)
     return (f"{out} AS MATERIALIZED (SELECT s.img, s.c, s.z, s.y, s.x, sum(q.v * k.w) AS v FROM "
-            f"(SELECT img, c, z, y, x, max({axis}) OVER (PARTITION BY img) + 1 AS n FROM {src}) s "
+            f"(SELECT img, c, z, y, x, max({axis}) OVER (PARTITION BY img, c) + 1 AS n FROM {src}) s "
             f"CROSS JOIN (VALUES {vals}) k(o, w) JOIN {src} q ON {same} AND q.{axis} = {pos} GROUP BY ALL)")
 
 
@@ -144,11 +145,23 @@ def _w7(spark, sf):
     return st.gaussian_smooth(fx.cells_evs(spark, sf), 1.2).select("img", "c", "y", "x", rnd("v").alias("v"))
 
 
+@query("w7_gaussian_smooth_ragged", with_sql("cells_emb") + """,
+emb AS (SELECT img, c, z, x, v, (dense_rank() OVER (PARTITION BY c ORDER BY y) - 1)::INT AS y FROM cells_emb), """
+       + filter_sql("emb", "f1", "y", GW) + ", "
+       + filter_sql("f1", "f2", "x", GW) + " SELECT c, y, x, round(v, 6) AS v FROM f2")
+def _w7c(spark, sf):
+    """Channels of different height are smoothed inside their own borders."""
+    e = fx.table(spark, sf, "embeddings")
+    place = e.select("vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("_y"))
+    cells = fx.cells_emb(spark, sf).join(place, F.col("y") == F.col("vec_id")).withColumn("y", F.col("_y")).drop("_y", "vec_id")
+    return st.gaussian_smooth(cells, 1.2).select("c", "y", "x", rnd("v").alias("v"))
+
+
 @query("w7_gaussian_smooth_3d", with_sql("cells_stack") + ", " + filter_sql("cells_stack", "f0", "z", GW) + ", "
        + filter_sql("f0", "f1", "y", GW) + ", " + filter_sql("f1", "f2", "x", GW)
        + " SELECT c, z, y, x, round(v, 6) AS v FROM f2")
 def _w7b(spark, sf):
-    s = st.gaussian_smooth(fx.cells_stack(spark, sf), 1.2, ("z", "y", "x"))
+    s = st.gaussian_smooth(fx.cells_stack(spark, sf), 1.2)
     return s.select("c", "z", "y", "x", rnd("v").alias("v"))
 
 

@@ -14,10 +14,8 @@ CELL = KEYS + AXES
 
 #: side of the square (y, x) blocks that stencils are co-partitioned by
 BLOCK = 64
-#: a per-group table is broadcast only when it was counted and is not larger
-BROADCAST_ROWS = 200_000
-#: copies of each per-group row when the table is too large to broadcast
-SALTS = 32
+#: a per-group table is broadcast only when its written files are not larger
+BROADCAST_BYTES = 16 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -73,24 +71,27 @@ def attach(
     groups: DataFrame,
     on: list[str],
     how: str = "inner",
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
     settled: bool = False,
 ) -> DataFrame:
     """Join a one-row-per-group table to many rows without moving a hot group.
 
-    The group table is written once and counted.  Up to ``limit`` rows it is
-    broadcast; above that both sides are salted, so one group that holds a
-    large share of ``rows`` is still spread over ``SALTS`` tasks.  Pass
-    ``settled`` when the table was already written by :func:`settle`.
+    The group table is written once; up to ``limit`` bytes of files it is
+    broadcast.  Above that the rows meet it in a sort-merge join, whose hot
+    partitions adaptive execution splits: only those are read more than once,
+    and no row is copied beforehand.  Pass ``settled`` when the table was
+    already written by :func:`settle`.
     """
     if not settled:
         groups = settle(groups)
-    if groups.count() <= limit:
+    if planned_bytes(groups) <= limit:
         return rows.join(F.broadcast(groups), on, how)
-    others = [F.col(c) for c in rows.columns if c not in on]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+    return rows.join(groups.hint("merge"), on, how)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as the optimizer knows it: for a written table, that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def finite(v: Column | str = "v") -> Column:

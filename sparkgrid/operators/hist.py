@@ -14,11 +14,12 @@ def histogram(cells: DataFrame, limits: DataFrame, bins: int = 512, keys: Sequen
     """Counts per bin for each group; empty bins are kept, the last is closed.
 
     ``limits`` has one row per group with ``lo`` and ``hi``.  Values outside
-    are clipped into the end bins.  Output: keys, bin, left, right, n.
+    are clipped into the end bins; where ``lo`` equals ``hi`` all fall into
+    the first.  Output: keys, bin, left, right, n.
     """
     keys = list(keys)
     width = F.col("hi") - F.col("lo")
-    pos = F.floor((F.col("v") - F.col("lo")) / width * bins)
+    pos = F.when(width > 0, F.floor(F.try_divide(F.col("v") - F.col("lo"), width) * bins)).otherwise(F.lit(0))
     binned = attach(cells.filter(finite("v")).select(*keys, "v"), limits.select(*keys, "lo", "hi"), keys)
     counts = binned.groupBy(
         *keys, F.least(F.greatest(pos, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")

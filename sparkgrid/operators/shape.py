@@ -12,10 +12,10 @@ from sparkgrid.core import AXES, CELL, KEYS, attach, extents, fdiv, finite
 
 def strided_sample(cells: DataFrame, max_z: int = 32, max_yx: int = 512, dims: DataFrame | None = None) -> DataFrame:
     """Keep every ceil(n/limit)-th index per axis and renumber the rest."""
-    dims = extents(cells) if dims is None else dims
+    dims = extents(cells, KEYS) if dims is None else dims
     limit = {"z": max_z, "y": max_yx, "x": max_yx}
     step = {a: F.greatest(F.ceil(F.col(f"n{a}") / limit[a]), F.lit(1)) for a in AXES}
-    out = attach(cells, dims, ["img"])
+    out = attach(cells, dims, [k for k in KEYS if k in dims.columns])
     for a in AXES:
         out = out.filter(F.pmod(F.col(a), step[a]) == 0)
     return out.select(*KEYS, *[F.floor(F.col(a) / step[a]).cast("int").alias(a) for a in AXES], "v")
@@ -23,11 +23,11 @@ def strided_sample(cells: DataFrame, max_z: int = 32, max_yx: int = 512, dims: D
 
 def center_crop(cells: DataFrame, cz: int = 64, cy: int = 512, cx: int = 512, dims: DataFrame | None = None) -> DataFrame:
     """The central window of at most the given size, moved to the origin."""
-    dims = extents(cells) if dims is None else dims
+    dims = extents(cells, KEYS) if dims is None else dims
     want = {"z": cz, "y": cy, "x": cx}
     size = {a: F.least(F.col(f"n{a}"), F.lit(want[a])) for a in AXES}
     start = {a: F.floor((F.col(f"n{a}") - size[a]) / 2) for a in AXES}
-    out = attach(cells, dims, ["img"])
+    out = attach(cells, dims, [k for k in KEYS if k in dims.columns])
     for a in AXES:
         out = out.filter((F.col(a) >= start[a]) & (F.col(a) < start[a] + size[a]))
     return out.select(*KEYS, *[(F.col(a) - start[a]).cast("int").alias(a) for a in AXES], "v")
@@ -66,8 +66,9 @@ def pyramid(cells: DataFrame, levels: int = 3, dims: DataFrame | None = None) ->
     Every level is grouped from the one before (a quarter of its size), and
     shares that level's exchange instead of reading the input again.
     """
-    dims = extents(cells) if dims is None else dims
-    cur = attach(cells, dims.select("img", "ny", "nx"), ["img"])
+    dims = extents(cells, KEYS) if dims is None else dims
+    on = [k for k in KEYS if k in dims.columns]
+    cur = attach(cells, dims.select(*on, "ny", "nx"), on)
     pick = lambda d, lv: d.select(F.lit(lv).alias("level"), F.lit(float(2**lv)).alias("scale"), *CELL, "v")
     out = pick(cur, 0)
     for lv in range(1, levels):

@@ -201,12 +201,16 @@ def reflect_filter(cells: DataFrame, axis: str, weights: Sequence[float], block:
 
 
 def gaussian_smooth(
-    cells: DataFrame, sigma: float, axes: Sequence[str] = ("y", "x"), dims: DataFrame | None = None
+    cells: DataFrame, sigma: float, axes: Sequence[str] = ("z", "y", "x"), dims: DataFrame | None = None
 ) -> DataFrame:
-    """Separable Gaussian: one exchange per axis instead of one wide kernel."""
+    """Separable Gaussian: one exchange per axis instead of one wide kernel.
+
+    Channels may differ in size; an axis of length one is left as it is.
+    """
     if sigma <= 0:
         return cells.select(*CELL, "v")
-    out = attach(cells.select(*CELL, "v"), extents(cells) if dims is None else dims, ["img"])
+    dims = extents(cells, KEYS) if dims is None else dims
+    out = attach(cells.select(*CELL, "v"), dims, [k for k in KEYS if k in dims.columns])
     for a in axes:
         out = reflect_filter(out, a, gaussian_weights(sigma))
     return out.select(*CELL, "v")
@@ -214,7 +218,8 @@ def gaussian_smooth(
 
 def box_mean(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> DataFrame:
     """Mean over a (2r+1)^2 window with mirrored borders, as two 1-D passes."""
-    out = attach(cells.select(*CELL, "v"), extents(cells) if dims is None else dims, ["img"])
+    dims = extents(cells, KEYS) if dims is None else dims
+    out = attach(cells.select(*CELL, "v"), dims, [k for k in KEYS if k in dims.columns])
     for a in ("y", "x"):
         out = reflect_filter(out, a, [1.0 / (2 * radius + 1)] * (2 * radius + 1))
     return out.select(*CELL, "v")
@@ -225,7 +230,7 @@ def local_background(cells: DataFrame, radius: int, frac: float = 0.01) -> DataF
     return background_level(reusable(box_mean(cells, radius)), frac)
 
 
-def anscombe_prefilter(cells: DataFrame, sigma: float, axes: Sequence[str] = ("y", "x")) -> DataFrame:
+def anscombe_prefilter(cells: DataFrame, sigma: float, axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
     """Smooth in the variance-stabilised domain."""
     up = cells.withColumn("v", anscombe(F.col("v")))
     return gaussian_smooth(up, sigma, axes).withColumn("v", inverse_anscombe(F.col("v")))

@@ -91,14 +91,18 @@ def benchmark_methods(
     crop: bool = True,
     **params,
 ) -> DataFrame:
-    """Time each method on one central crop; a failing method is left out."""
+    """Time each method on one central crop; a failing method is left out.
+
+    If all fail, the last error is raised.
+    """
     crop_cells = settle(center_crop(cells) if crop else cells)
-    tables = []
+    tables, failed = [], ValueError("no methods given")
     for m in methods:
         t0 = time.perf_counter()
         try:
             result = settle(restore_dispatch(crop_cells, taps, m, niter=niter, **params).cells)
-        except ValueError:
+        except Exception as exc:  # whatever stops one method must not stop the others
+            failed = exc
             continue
         row = F.lit(f"{m}_{niter}i").alias("label"), F.lit(round(time.perf_counter() - t0, 3)).alias("time_s")
         if quality:
@@ -108,6 +112,8 @@ def benchmark_methods(
                           .select(*row, "*"))
         else:
             tables.append(result.groupBy().agg(F.count(F.lit(1)).alias("cells")).select(*row))
+    if not tables:
+        raise failed
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

@@ -64,7 +64,7 @@ class Options:
     #: "columns" (expressions only), "blocks" (dense blocks) or "auto"
     engine: str = "auto"
     dense_block: int = 256
-    smooth_axes: Sequence[str] = ("y", "x")
+    smooth_axes: Sequence[str] = ("z", "y", "x")
 
     offset_value: float = field(init=False)
     damp_strength: float = field(init=False)

@@ -11,9 +11,15 @@ from pyspark.sql import types as T
 from sparkgrid.core import AXES, BLOCK, CELL, KEYS, fdiv, grid, spread
 
 
+SCHEMA = "img string, t int, c int, z int, y int, x int, v double"
+
+
 def read_cells(spark: SparkSession, path: str, t: int | None = None, c: int | None = None) -> DataFrame:
-    """Scan a cell table; time and channel filters prune partitions or row groups."""
-    df = spark.read.parquet(path)
+    """Scan a cell table; time and channel filters prune partitions or row groups.
+
+    The schema is fixed, so that image names such as ``007`` stay text.
+    """
+    df = spark.read.schema(SCHEMA).parquet(path)
     if t is not None:
         df = df.filter(F.col("t") == t)
     if c is not None:
@@ -73,9 +79,9 @@ def list_files(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> Dat
 
 
 def write_cells(cells: DataFrame, path: str, level: bool = True) -> None:
-    """Partitioned, idempotent write: a rerun replaces only its own partitions."""
+    """Partitioned, idempotent write: a rerun replaces only its own time points and channels."""
     out = cells if "level" in cells.columns or not level else cells.withColumn("level", F.lit(0))
-    parts = ["img", "c"] + (["level"] if level else [])
+    parts = ["img", "t", "c"] + (["level"] if level else [])
     (
         out.withColumn("by", fdiv("y", BLOCK)).withColumn("bx", fdiv("x", BLOCK))
         # blocks of one image go to several tasks, so a huge image is not one writer

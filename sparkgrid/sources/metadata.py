@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 PLATE = ("struct<wells:array<struct<path:string,images:array<struct<path:string>>,"
          "children:map<string,string>>>>")
 
-OME = ("struct<Instrument:struct<Objective:struct<_LensNA:double,_NominalMagnification:double,_Immersion:string>>,"
-       "Image:struct<ObjectiveSettings:struct<_RefractiveIndex:double>,"
+OME = ("struct<Instrument:array<struct<Objective:array<struct<_LensNA:double,_NominalMagnification:double,_Immersion:string>>>>,"
+       "Image:array<struct<ObjectiveSettings:struct<_RefractiveIndex:double>,"
        "Pixels:struct<_PhysicalSizeX:double,_PhysicalSizeY:double,_PhysicalSizeZ:double,"
        "_SizeX:int,_SizeY:int,_SizeZ:int,_SizeC:int,_SizeT:int,"
        "Channel:array<struct<_Name:string,_EmissionWavelength:double,_ExcitationWavelength:double,"
-       "_PinholeSize:double,_AcquisitionMode:string>>>>>")
+       "_PinholeSize:double,_AcquisitionMode:string>>>>>>")
+
+
+OBJECTIVES = "array<struct<_LensNA:double,_NominalMagnification:double,_Immersion:string>>"
 
 
 def stem(name: Column) -> Column:
@@ -76,9 +79,12 @@ def axis_scales_from_transforms(df: DataFrame, col: str = "arr") -> DataFrame:
 
 
 def xml_metadata(df: DataFrame, col: str = "xml") -> DataFrame:
-    """Objective, pixel sizes, shape and channels of OME-like XML documents."""
-    x = df.withColumn("_x", F.from_xml(F.col(col), OME, {"ignoreNamespace": "true"}))
-    obj, px = "_x.Instrument.Objective", "_x.Image.Pixels"
+    """Objective, pixel sizes, shape and channels of OME-like XML documents: of the first objective and image."""
+    x = df.withColumn("_d", F.from_xml(F.col(col), OME, {"ignoreNamespace": "true"}))
+    first = lambda c: F.get(c, F.lit(0))
+    objectives = F.flatten(F.transform("_d.Instrument", lambda i: F.coalesce(i["Objective"], F.array().cast(OBJECTIVES))))
+    x = x.withColumn("_x", F.struct(first(objectives).alias("Objective"), first(F.col("_d.Image")).alias("Image")))
+    obj, px = "_x.Objective", "_x.Image.Pixels"
     chans = F.transform(F.col(f"{px}.Channel"), lambda c: F.struct(
         c["_Name"].alias("name"), c["_EmissionWavelength"].alias("emission"),
         c["_ExcitationWavelength"].alias("excitation"), c["_PinholeSize"].alias("pinhole"),

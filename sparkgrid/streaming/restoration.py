@@ -6,22 +6,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkgrid.core import CELL, settle
+from sparkgrid.core import CELL, discard, write_aside
 from sparkgrid.plans.tiled import restore_tiled
 
 
 def restore_stream(frames: DataFrame, kernel: np.ndarray, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Solve every arriving frame and write it to its own ``t`` partition.
+    """Solve every arriving channel of a frame and write it to a partition of its own.
 
-    A trigger must deliver whole frames.  Writing replaces the partitions of
-    the batch, so a batch that is run again after a failure leaves no copies.
+    A frame may arrive over several triggers, a channel of it in one.  Writing
+    replaces the channels of the batch, so a batch that is run again after a
+    failure leaves no copies.
     """
     def put(batch: DataFrame, _: int) -> None:
-        cells = settle(batch.select(*CELL, "v"))
+        cells, path_of_batch = write_aside(batch.select(*CELL, "v"))
         if cells.isEmpty():
+            discard(batch.sparkSession, path_of_batch)
             return
         out = restore_tiled(cells, kernel, **options).cells
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t", "img").parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t", "img", "c").parquet(path)
+        discard(batch.sparkSession, path_of_batch)
 
     return (
         frames.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
