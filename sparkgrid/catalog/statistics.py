@@ -57,6 +57,30 @@ def _k1(spark, sf):
     return rank.lowest_fraction(fx.cells_evs(spark, sf), 0.25).select("img", "c", "v", "copies")
 
 
+def _offset(spark, sf):
+    """Many distinct values around a large offset: all in a few buckets."""
+    return fx.table(spark, sf, "lineitem").select(
+        F.lit("o").alias("img"), F.lit(0).alias("t"), (F.col("l_orderkey") % 3).cast("int").alias("c"),
+        (F.lit(300.0) + F.col("l_extendedprice") / 1e7).alias("v"))
+
+
+OFFSET = """WITH o AS (SELECT (l_orderkey % 3)::INT AS c, 300.0 + l_extendedprice / 1e7 AS v FROM lineitem)"""
+
+
+@query("a3_percentiles_offset", OFFSET + """
+SELECT c, round(quantile_cont(v, 0.005), 9) AS p_lo, round(quantile_cont(v, 0.5), 9) AS mid, round(quantile_cont(v, 0.995), 9) AS p_hi FROM o GROUP BY c""")
+def _a3b(spark, sf):
+    r = rank.percentiles(_offset(spark, sf), {"p_lo": 0.5, "mid": 50, "p_hi": 99.5})
+    return r.select("c", *[rnd(n, 9).alias(n) for n in ("p_lo", "mid", "p_hi")])
+
+
+@query("a4_gini_offset", OFFSET + """,
+r AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS i FROM o)
+SELECT c, round(2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*), 8) AS gini FROM r GROUP BY c""")
+def _a4b(spark, sf):
+    return rank.gini(_offset(spark, sf)).select("c", rnd("gini", 8).alias("gini"))
+
+
 @query("a5_background_level", with_sql("cells_evs") + LOW("cells_evs", 0.1) + """
 SELECT img, c, quantile_disc(v, 0.5) AS background FROM low GROUP BY img, c""")
 def _a5(spark, sf):

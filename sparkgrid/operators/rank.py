@@ -16,6 +16,8 @@ from sparkgrid.core import KEYS, attach, finite, reusable, settle
 
 #: buckets per power of two
 RESOLUTION = 1024
+#: parts of a bucket that holds a wanted rank, even between its own extremes
+PARTS = 1024
 
 
 def bucket_of(v: Column, resolution: int = RESOLUTION) -> Column:
@@ -29,7 +31,8 @@ def bucket_of(v: Column, resolution: int = RESOLUTION) -> Column:
 
 def bucket_counts(cells: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    return cells.groupBy(*keys, bucket_of(F.col("v")).alias("b")).agg(n.cast("long").alias("n"))
+    return cells.groupBy(*keys, bucket_of(F.col("v")).alias("b")).agg(
+        n.cast("long").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def order_stats(
@@ -58,19 +61,26 @@ def order_stats(
     ])
     targets = (
         hist.withColumn("want", F.explode(wanted))
-        .select(*keys, "b", "total", "want.name", F.col("want.r").alias("r"), (F.col("cum") - F.col("n")).alias("before"), "cum")
+        .select(*keys, "b", "total", "want.name", F.col("want.r").alias("r"), (F.col("cum") - F.col("n")).alias("before"), "cum", "lo", "hi")
         .filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("cum")))
-        .groupBy(*keys, "b")
+        .groupBy(*keys, "b", "lo", "hi")
         .agg(F.collect_list(F.struct("name", "r", "before", "total")).alias("want"))
     )
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1)))
     copies = F.sum(weight) if weight else F.count(F.lit(1))
     near = (
-        attach(src.withColumn("b", bucket_of(F.col("v"))), targets.select(*keys, "b", "want"), keys + ["b"])
-        .groupBy(*keys, "b", "v").agg(copies.cast("long").alias("m"), F.first("want").alias("want"))
+        attach(src.withColumn("b", bucket_of(F.col("v"))), targets.select(*keys, "b", "lo", "hi", "want"), keys + ["b"])
+        .withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
+        .groupBy(*keys, "b", "part", "v").agg(copies.cast("long").alias("m"), F.first("want").alias("want"))
     )
-    within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    at = [*keys, "b", "part"]
+    earlier = Window.partitionBy(*keys, "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = near.groupBy(*at).agg(F.sum("m").alias("in_part")).select(
+        *at, F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        near.withColumn("cum", F.sum("m").over(within))
+        near.withColumn("cum", F.sum("m").over(within)).join(starts, at)
+        .withColumn("cum", F.col("cum") + F.col("start"))
         .withColumn("w", F.explode("want"))
         .filter((F.col("w.r") - F.col("w.before") >= F.col("cum") - F.col("m"))
                 & (F.col("w.r") - F.col("w.before") < F.col("cum")))
@@ -157,20 +167,24 @@ def noise_sigma(cells: DataFrame, frac: float = 0.25, keys: Sequence[str] = KEYS
 def gini(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Concentration of intensity: 0 = even, towards 1 = sparse.
 
-    Ranks inside a bucket are local; the bucket's starting rank is added from
-    the small bucket table, so no task sorts a whole group.
+    Ranks inside a part of a bucket are local; starting ranks are added from the
+    small tables of parts and of buckets, so no task sorts a whole group.
     """
     keys = list(keys)
-    b = keys + ["b"]
-    vals = cells.filter(finite("v")).groupBy(*keys, bucket_of(F.col("v")).alias("b"), "v").agg(
+    b, f = [*keys, "b"], [*keys, "b", "f"]
+    vals = cells.filter(finite("v")).groupBy(
+        *keys, bucket_of(F.col("v")).alias("b"), bucket_of(F.col("v"), RESOLUTION * PARTS).alias("f"), "v").agg(
         F.count(F.lit(1)).alias("m"))
-    inner = Window.partitionBy(*b).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*f).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     local = vals.withColumn("prev", F.coalesce(F.sum("m").over(inner), F.lit(0)))
-    per = local.groupBy(*b).agg(
+    parts = local.groupBy(*f).agg(
         F.sum("m").alias("n"),
         F.sum(F.col("v") * F.col("m")).alias("s0"),
         F.sum(F.col("v") * (F.col("m") * F.col("prev") + F.col("m") * (F.col("m") + 1) / 2)).alias("s1"),
     )
+    middle = Window.partitionBy(*b).orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    per = parts.withColumn("before", F.coalesce(F.sum("n").over(middle), F.lit(0))).groupBy(*b).agg(
+        F.sum("n").alias("n"), F.sum("s0").alias("s0"), F.sum(F.col("s1") + F.col("before") * F.col("s0")).alias("s1"))
     outer = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     tot = per.withColumn("before", F.coalesce(F.sum("n").over(outer), F.lit(0))).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("s0").alias("s"),

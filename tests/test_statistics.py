@@ -115,3 +115,13 @@ def test_validate_shapes_fails_on_ragged_channels(spark, to_cells):
     assert stats.validate_shapes(ok).count() == 9
     with pytest.raises(Exception, match="differ in shape"):
         stats.validate_shapes(ragged).count()
+
+
+def test_no_window_sees_a_whole_bucket_of_an_offset_signal(spark):
+    """200,000 distinct values in one bucket are ranked in parts of a few hundred."""
+    rows = spark.range(200_000).select(F.lit("i").alias("img"), F.lit(0).alias("t"), F.lit(0).alias("c"), (300 + F.col("id") / 1e6).alias("v"))
+    buckets = rows.select(rank.bucket_of(F.col("v")).alias("b"), rank.bucket_of(F.col("v"), rank.RESOLUTION * rank.PARTS).alias("f"))
+    assert buckets.select("b").distinct().count() <= 2
+    assert buckets.groupBy("f").count().agg(F.max("count")).first()[0] < 1000
+    got = rank.percentiles(rows, {"p": 25.0}).first()
+    assert abs(got.p - (300 + 0.25 * 199_999 / 1e6)) < 1e-9
