@@ -240,14 +240,24 @@ def tv_step(lam: float, scales: dict[str, float], sign: str, groups: DataFrame):
 
 
 def sparse_step(w: float, reg: float, z_scale: float, volume: bool):
-    """Data step, then a normalised step down the sparse-Hessian gradient."""
+    """Data step, then a normalised step down the sparse-Hessian gradient.
+
+    ``scratch`` lists the tables an update has written; once the state that
+    was made from them is saved they can go.
+    """
+    scratch: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        out, path = write_aside(df)
+        scratch.append(path)
+        return out
 
     def run(state: DataFrame, taps: Sequence[Tap], k: int, opt: Options) -> DataFrame:
         step = data_step(state, taps, k, opt).withColumn(
             "v", F.greatest(F.col("p") * F.col("corr") * F.col("w"), F.col("bg"))).drop("corr", "p")
-        step = settle(step)
+        step = kept(step)
         image = step.filter(F.col("d").isNotNull()).select(*CELL, "v", "bg")
-        grad = settle(sparse_hessian_gradient(image, w, z_scale, volume))
+        grad = kept(sparse_hessian_gradient(image, w, z_scale, volume))
         scale = grad.groupBy(*KEYS).agg(F.greatest(F.avg(F.abs("g")), F.lit(1e-12)).alias("_scale"))
         signal = image.groupBy(*KEYS).agg(F.greatest(F.avg("v") - F.first("bg"), F.lit(1.0)).alias("_signal"))
         moved = attach(step.join(grad, CELL, "left"), scale.join(signal, KEYS), KEYS)
@@ -255,6 +265,7 @@ def sparse_step(w: float, reg: float, z_scale: float, volume: bool):
         new = F.when(F.col("d").isNotNull(), F.greatest(down, F.col("bg"))).otherwise(F.col("v"))
         return _advance(moved, new)
 
+    run.scratch = scratch
     return run
 
 
@@ -339,6 +350,9 @@ def run(
         kept.append(path)
         while len(kept) > 2:
             discard(spark, kept.pop(0))
+        scratch = getattr(step, "scratch", [])
+        while scratch:
+            discard(spark, scratch.pop())
         return out
 
     for first, k in legs(opt):

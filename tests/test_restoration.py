@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgrid.catalog.kernels import K35
 from sparkgrid.catalog.restoration import taps_block
 from sparkgrid.operators import kernel as kn, tiles as tl
 from sparkgrid.plans import batch, restore as rs, tiled
@@ -201,3 +202,14 @@ def test_benchmark_reports_each_method(spark, to_cells):
     df = batch.benchmark_methods(spark, to_cells(a=blurred((6, 6))), K, niter=1, methods=["rl"], track=False, crop=False)
     row = df.first().asDict()
     assert row["label"] == "rl_1i" and row["channels_compared"] == 1 and row["time_s"] > 0
+
+
+def test_sparse_updates_leave_no_copies_behind(to_cells, monkeypatch):
+    """Both full-size tables of an update go once the next state is saved."""
+    written, removed = [], []
+    write, drop = rs.write_aside, rs.discard
+    monkeypatch.setattr(rs, "write_aside", lambda df: (out := write(df), written.append(out[1]))[0])
+    monkeypatch.setattr(rs, "discard", lambda spark, path: (drop(spark, path), removed.append(path)))
+    cells = to_cells(i=np.random.default_rng(2).poisson(9, (5, 7)).astype(float))
+    out = rs.sparse_hessian_deconvolve(cells, K35, volume=False, niter=2, track=False, checkpoint_every=1)
+    assert out.cells.count() == 35 and len(written) == 6 and len(removed) == 4
