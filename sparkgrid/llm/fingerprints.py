@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,36 +11,51 @@ from sparkgrid.llm.tables import partitions, text_of
 
 #: samples in a fingerprint; the likeness of two is a mean over them
 SAMPLES = 64
+#: samples drawn from one row of a term; more would make code too long to be compiled
+STEP = 8
 #: hex digits written per sample
 DIGITS = 4
 SPACES = " \t\n\x0b\f\r"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
-def uniform(bits: Column, first: int, count: int) -> Column:
-    """A number in (0, 1) from ``count`` of the bits."""
-    part = F.shiftrightunsigned(bits, first).bitwiseAND(F.lit((1 << count) - 1).cast("long"))
-    return (part.cast("double") + 0.5) / float(1 << count)
+#: quantiles of the Gamma(2, 1) distribution that draws are taken from
+QUANTILES = 4096
 
 
-def sample(term: Column, log_weight: Column, i: int) -> Column:
+def gamma_quantiles() -> np.ndarray:
+    """Values x at which 1 - (1 + x) exp(-x) passes the middle of each of ``QUANTILES`` equal shares."""
+    share = (np.arange(QUANTILES) + 0.5) / QUANTILES
+    low, high = np.zeros(QUANTILES), np.full(QUANTILES, 40.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return high
+
+
+def table(values: np.ndarray) -> Column:
+    """A constant array: the optimizer folds the text into one literal."""
+    return F.split(F.lit(",".join(f"{v:.12g}" for v in values)), ",").cast("array<double>")
+
+
+def sample(term: Column, draw: Column, log_weight: Column, i: int, gamma: Column, log_gamma: Column) -> Column:
     """Draw i of a weighted term, packed so that the smallest value of a text is its sample.
 
     With r and c from Gamma(2, 1), b uniform and t = floor(ln w / r + b), the
     term with the smallest ln c - r (t - b) - r is sampled together with t.
-    All draws come from the hash of term and i, so texts agree in a sample
+    All draws come from ``draw``, a hash of the term, and i, so texts agree in a sample
     with the probability of their generalised Jaccard similarity.  The value's
     high 31 bits order the draws, the low 32 name (term, t).
     """
-    bits = F.xxhash64(term, F.lit(i))
-    r = -F.log(uniform(bits, 0, 13) * uniform(bits, 13, 13))
-    c = -F.log(uniform(bits, 26, 13) * uniform(bits, 39, 13))
-    b = uniform(bits, 52, 12)
+    bits = F.xxhash64(draw.bitwiseXOR(F.lit((i + 1) * 0x1E3779B97F4A7C15 % (1 << 62))))
+    digit = lambda first: F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(QUANTILES - 1).cast("long")).cast("int")
+    r = F.get(gamma, digit(0))
+    b = F.shiftrightunsigned(bits, 24).cast("double") / float(1 << 40)
     t = F.floor(log_weight / r + b)
-    order = F.log(c) - r * (t - b) - r
-    name = F.xxhash64(term, t, F.lit(i)).bitwiseAND(F.lit((1 << 32) - 1))
-    place = ((order + 64.0) * float(1 << 24)).cast("long")
-    return F.shiftleft(place, 32).bitwiseOR(name)
+    order = F.get(log_gamma, digit(12)) - r * (t - b) - r
+    name = term.bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.shiftleft(((order + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(name)
 
 
 def fingerprint_texts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -52,12 +68,18 @@ def fingerprint_texts(texts: DataFrame, keys: list[str], text: str) -> DataFrame
     words = F.explode(F.split(F.btrim(F.col(text), F.lit(SPACES)), SEPARATOR))
     counted = texts.select(*keys, words.alias("_word")).select(*keys, F.xxhash64("_word").alias("_term"))
     counted = counted.groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
-    weighted = counted.select(*keys, "_term", F.log(F.col("_n").cast("double")).alias("_w"))
-    sampled = weighted.groupBy(*keys).agg(
-        *[F.min(sample(F.col("_term"), F.col("_w"), i)).alias(f"_{i}") for i in range(SAMPLES)]
+    steps = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // STEP - 1)))
+    weighted = counted.select(*keys, "_term", F.log(F.col("_n").cast("double")).alias("_w"), steps.alias("_step"))
+    weighted = weighted.withColumn("_draw", F.xxhash64("_term", "_step"))
+    gamma = gamma_quantiles()
+    tables = table(gamma), table(np.log(gamma))
+    sampled = weighted.groupBy(*keys, "_step").agg(
+        *[F.min(sample(F.col("_term"), F.col("_draw"), F.col("_w"), i, *tables)).alias(f"_{i}") for i in range(STEP)]
     )
-    digits = [F.substring(F.lpad(F.hex(f"_{i}"), 16, "0"), -DIGITS, DIGITS) for i in range(SAMPLES)]
-    return sampled.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
+    named = [F.xxhash64(F.col(f"_{i}").bitwiseAND(F.lit((1 << 32) - 1))) for i in range(STEP)]
+    digits = F.concat(*[F.substring(F.lpad(F.hex(n), 16, "0"), -DIGITS, DIGITS) for n in named])
+    parts = F.array_sort(F.collect_list(F.struct("_step", digits.alias("digits"))))
+    return sampled.groupBy(*keys).agg(F.lower(F.array_join(F.transform(parts, lambda p: p["digits"]), "")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,14 +134,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - quarter), "_head")
     met = texts.join(order, "key").join(heads, "key").withColumn("edited", edited)
-    body = lambda form, text, sha: F.struct(F.lit(form).alias("form"), text.alias("body"), sha.alias("sha"))
     forms = F.explode(F.array(
-        body(0, F.col("text"), F.lit("")), body(1, F.col("edited"), F.sha2("edited", 256)),
+        F.struct(F.lit(0).alias("form"), F.col("text").alias("body")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("body")),
     ))
-    bodies = met.select("key", forms.alias("f")).select("key", "f.form", "f.sha", "f.body")
-    prints = settle(fingerprint_texts(bodies, ["key", "form", "sha"], "body"))
+    bodies = met.select("key", forms.alias("f")).select("key", "f.form", "f.body")
+    sums = met.select("key", F.sha2("edited", 256).alias("edited_sha256"))  # from the same shuffles, in the same job
+    prints = settle(fingerprint_texts(bodies, ["key", "form"], "body").join(sums, "key"))
     own = prints.filter("form = 0").select("key", "fingerprint")
-    changed = prints.filter("form = 1").select("key", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
+    changed = prints.filter("form = 1").select("key", "edited_sha256", F.col("fingerprint").alias("edited_fingerprint"))
     following = own.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("_next"))
     return (
         order.join(own, "key").join(changed, "key").join(following, "next_key")
