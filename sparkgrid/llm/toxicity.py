@@ -30,6 +30,8 @@ STEPS = list(combinations(range(1, SPAN), 2))
 #: character classes: 0 is no character to match, 1-26 are a-z, others share 19, then a word's start and end
 CODES = 48
 START, END = 46, 47
+#: ASCII marks around a word
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GAP = SPAN  # separators between words, so that no subsequence spans two of them
 THRESHOLD = 0.7
 
@@ -54,7 +56,8 @@ class Coder:
         self.table = _code_table()
 
     def words(self, text: str) -> list[str]:
-        return self.spelled.sub(r"\1", text).split()
+        """The words of a text without the marks around them, letters spelled apart joined."""
+        return [w for w in (v.strip(MARKS) for v in self.spelled.sub(r"\1", text).split()) if w]
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words, their ends marked, and the index at which each word starts."""
@@ -176,10 +179,6 @@ def diverse(coder: Coder, words: list[str], limit: int, alike: float = 0.8) -> l
     return [w for w, _, _ in picked]
 
 
-#: ASCII marks around a word
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 def by_count(words: dict[str, int]) -> list[str]:
     return sorted(words, key=lambda w: (-words[w], w))
 
@@ -200,15 +199,17 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, negatives:
     several toxic texts and in no clean one label the sentences they stand in;
     then the SVM relabels: the words of toxic texts that it accepts are the
     positives of the next round, and words it rejects cease to be.  Words of clean texts are negatives, the
-    hardest of them first.  A quarter of the texts is kept for the calibration.
+    hardest of them first.  A quarter of each class is kept for the calibration.
     Without both classes the model answers the base rate.
     """
     coder = Coder()
-    bags = [set(w.lower().strip(MARKS) for w in coder.words(t)) for t in texts]
+    bags = [set(w.lower() for w in coder.words(t)) for t in texts]
     y = np.array(labels, dtype=int)
     rate = float(np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3))
     dull = Model(np.zeros(CODES**3, np.float32), -1.0, (0.0, 0.0, float(np.log(rate / (1 - rate)))))
-    fit = np.arange(len(y)) % 4 != 0
+    fit = np.ones(len(y), dtype=bool)
+    for label in (0, 1):  # of both classes alike
+        fit[np.flatnonzero(y == label)[::4]] = False
     if not (y[fit].any() and (y[fit] == 0).any()):
         return dull
     toxic: Counter = Counter()
