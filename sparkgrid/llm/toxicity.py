@@ -200,7 +200,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, negatives:
     then the SVM relabels: the words of toxic texts that it accepts are the
     positives of the next round, and words it rejects cease to be.  Words of clean texts are negatives, the
     hardest of them first.  A quarter of each class is kept for the calibration.
-    Without both classes the model answers the base rate.
+    Without both classes, or with too few texts for any word to tell, the model
+    answers the base rate.
     """
     coder = Coder()
     bags = [set(w.lower() for w in coder.words(t)) for t in texts]

@@ -5,11 +5,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_in_order_and_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sf = "/root/testdata/sf0.01"  # the smallest table with enough labels to learn from
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "secret_scan", "source_mix", "bpe"]
     columns, sizes = docs.columns, [docs.count()]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, SF).cache()
+        docs = stage(spark, docs, sf).cache()
         sizes.append(docs.count())
         if i < 4:
             assert docs.columns == columns
