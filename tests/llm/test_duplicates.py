@@ -140,3 +140,50 @@ def test_collision_rate_is_generalised_jaccard(make_docs, shared):
     x, y = Counter("".join(a).split()), Counter("".join(b).split())
     want = sum((x & y).values()) / sum((x | y).values())
     assert abs(fingerprints.fingerprint_documents(docs).filter("doc_id = 1").first().near_next - want) < 0.2
+
+
+def texts_of_units(text):
+    data, spans, _, _ = paragraphs.Splitter()(text)
+    return [data[a:b].decode() for a, b in spans[:, :2].tolist()]
+
+
+def words_in_units(text):
+    _, spans, words, _ = paragraphs.Splitter()(text)
+    held = np.zeros(len(words), dtype=bool)
+    for first, n in spans[:, 2:4].tolist():
+        held[first : first + n] = True
+    return int(held.sum()), len(words)
+
+
+def short_lines(name, n, width=5):
+    return "\n".join(" ".join(f"{name}{i}w{j}" for j in range(width)) for i in range(n)) + "\n"
+
+
+PROSE_LINE = "a sentence of more than six words stands here. Ends so.\n"
+
+
+@pytest.mark.parametrize("text", [
+    short_lines("a", 40), short_lines("a", 40, 1), "Title\n\n" + PROSE_LINE, PROSE_LINE + "tail\n", "one two three\n\nfour five six", "这是一个没有空格的句子，它有很多字。第二个句子也没有空格，同样很长！",
+])
+def test_every_word_is_in_a_paragraph(text):
+    held, n = words_in_units(text)
+    assert held == n > 0
+
+
+def test_a_line_keeps_its_own_paragraph_behind_a_short_one():
+    assert "a sentence of more than six words stands here." in texts_of_units("Title\n" + PROSE_LINE)
+
+
+def test_repeats_among_short_lines(make_docs):
+    shared = short_lines("both", 16)
+    docs = make_docs([(1, short_lines("a", 3) + shared + short_lines("b", 4)), (2, short_lines("c", 6) + shared), (3, short_lines("d", 30))])
+    rows = paragraphs.repeated_paragraphs(docs).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and all(r.removed == (r.doc_id == 2) for r in rows)
+    assert all(sum(r.n_words for r in rows if r.doc_id == d) >= 40 for d in (1, 2))
+
+
+def test_a_part_is_no_repeat_of_its_whole(make_docs):
+    line = " ".join(f"only{i}" for i in range(30))
+    assert paragraphs.repeated_paragraphs(make_docs([(1, f"Title\n{line}\n"), (2, short_lines("e", 20))])).count() == 0
+    rows = paragraphs.repeated_paragraphs(make_docs([(1, f"Title\n{line}\n"), (2, f"Other one\n{line}\n"), (3, line)])).collect()
+    assert {(r.doc_id, r.removed) for r in rows} == {(1, False), (2, True), (3, True)}
