@@ -187,3 +187,24 @@ def test_a_part_is_no_repeat_of_its_whole(make_docs):
     assert paragraphs.repeated_paragraphs(make_docs([(1, f"Title\n{line}\n"), (2, short_lines("e", 20))])).count() == 0
     rows = paragraphs.repeated_paragraphs(make_docs([(1, f"Title\n{line}\n"), (2, f"Other one\n{line}\n"), (3, line)])).collect()
     assert {(r.doc_id, r.removed) for r in rows} == {(1, False), (2, True), (3, True)}
+
+
+def test_repeats_inside_long_sentences(make_docs):
+    own = lambda name: " ".join(f"{name}{i}" for i in range(200))
+    shared = " ".join(f"both{i}" for i in range(80))
+    texts = {1: f"{own('a')} {shared} {own('b')}", 2: f"{own('c')} {shared} {own('d')}", 3: f"{own('e')} {own('f')}"}
+    rows = paragraphs.repeated_paragraphs(make_docs(list(texts.items()))).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and all(r.removed == (r.doc_id == 2) for r in rows)
+    assert all(sum(w in shared.split() for r in rows if r.doc_id == d for w in texts[d][r.start : r.end].split()) >= 40 for d in (1, 2))
+
+
+def test_a_repeat_of_a_piece_stays_where_its_whole_stays(make_docs):
+    whole = [f"term{i}" for i in range(80)]
+    edited = [*whole[:40], "changed", *whole[41:]]
+    other = [f"own{i}" for i in range(60)]
+    texts = {1: " ".join(whole), 2: " ".join(edited), 3: " ".join(other + edited[28:54] + other[::-1])}
+    docs = make_docs(list(texts.items()))
+    rows = paragraphs.repeated_paragraphs(docs).collect()
+    assert [(r.start, r.end) for r in rows if r.doc_id == 2 and r.removed] == [(0, len(texts[2]))]
+    kept = " ".join(r.text for r in paragraphs.remove_repeats(docs).collect())
+    assert set(kept.split()) == {w for t in texts.values() for w in t.split()}
