@@ -208,3 +208,17 @@ def test_a_repeat_of_a_piece_stays_where_its_whole_stays(make_docs):
     assert [(r.start, r.end) for r in rows if r.doc_id == 2 and r.removed] == [(0, len(texts[2]))]
     kept = " ".join(r.text for r in paragraphs.remove_repeats(docs).collect())
     assert set(kept.split()) == {w for t in texts.values() for w in t.split()}
+
+
+def test_a_text_of_many_documents_is_no_window_group(spark, make_docs):
+    line = "this license line of nine words stands in all"
+    docs = make_docs([(i, f"{line}\n" + " ".join(f"own{i}x{j}" for j in range(12))) for i in range(40)])
+    said = []
+    keep = paragraphs.settle
+    paragraphs.settle = lambda df: said.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+    try:
+        rows = paragraphs.repeated_paragraphs(docs).collect()
+    finally:
+        paragraphs.settle = keep
+    assert sorted((r.doc_id, r.removed) for r in rows) == [(i, i > 0) for i in range(40)]
+    assert not [p for p in said if "Window" in p and "paragraph" in p]
