@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import bpe, fingerprints, mixing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
+from sparkgrid.llm import bpe, fingerprints, mixing, packing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
 #: byte-level BPE of 50,257 ids
@@ -155,3 +155,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read(spark, sf_dir))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir), TOKENIZER, limit=1024, end_id=2)
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset",
+    )
