@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import bpe, fingerprints, mixing, packing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
+from sparkgrid.llm import alignment, bpe, fingerprints, mixing, packing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
 #: byte-level BPE of 50,257 ids
 TOKENIZER = tokenizer_file("byte_bpe_50k.json")
 
+#: BPE with byte fallback of 32,000 pieces
+PIECES = tokenizer_file("piece_bpe_32k.model")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -163,3 +166,9 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset",
     )
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_documents(read(spark, sf_dir), TOKENIZER, PIECES, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
