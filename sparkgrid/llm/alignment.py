@@ -11,7 +11,6 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,10 +26,9 @@ BLOCK = 32_000_000
 #: documents that a task handles at a time
 FEW = 500
 #: segments, and characters of segments, that a worker remembers before it starts afresh
-MEMORY, MEMORY_CHARS = 300_000, 16_000_000
+MEMORY, MEMORY_CHARS = 500_000, 16_000_000
 #: how piece models write a blank
 BLANK = "▁"
-UNITS = regex.compile(r"(?<=[^ ])(?= )")
 ROWS = ("block long, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
         "numbers binary, counts binary, number long, pair long, n long")
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -45,66 +43,87 @@ def shared_groups(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, in
     bisection; both halves are divided in turn.  An interval without one is a
     group.
     """
-    groups, todo = [], [(0, len(a), 0, len(b))] if a else []
+    groups: list[tuple[int, int, int, int]] = []
+    todo = [(0, len(a), 0, len(b))] if a else []
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            middle, last = (b0 + b1 - 1) // 2, b1 - 2
-            for step in range(b1 - b0):
-                for k in (middle + step, middle - step - 1):
-                    if b0 <= k <= last:
-                        end = b[k]
-                        at = bisect_left(a, end, a0, a1)
-                        if a[at] == end:
-                            todo.append((at + 1, a1, k + 1, b1))
-                            todo.append((a0, at + 1, b0, k + 1))
-                            break
+        while a1 - a0 > 1 and b1 - b0 > 1:
+            k = (b0 + b1 - 2) >> 1
+            at = bisect_left(a, b[k], a0, a1)
+            if a[at] != b[k]:
+                for k in outward(k, b0, b1 - 2):
+                    at = bisect_left(a, b[k], a0, a1)
+                    if a[at] == b[k]:
+                        break
                 else:
-                    continue
-                break
-            else:
-                groups.append((a0, a1, b0, b1))
-        else:
-            groups.append((a0, a1, b0, b1))
+                    break
+            todo.append((at + 1, a1, k + 1, b1))
+            a1, b1 = at + 1, k + 1
+        groups.append((a0, a1, b0, b1))
     return groups
 
 
-def links(a: Sequence[int], b: Sequence[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
-    """Places of the tokens of a group whose bytes overlap: the range that ends first makes way."""
-    i, a1, j, b1 = group
-    while i < a1 and j < b1:
-        yield i, j
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
+def outward(middle: int, first: int, last: int) -> Iterator[int]:
+    """Places from ``first`` to ``last`` but ``middle``, the nearest to it first."""
+    for step in range(1, max(middle - first, last - middle) + 1):
+        if middle + step <= last:
+            yield middle + step
+        if middle - step >= first:
+            yield middle - step
+
+
+class Numbers(dict):
+    """Keys to 0, 1, 2 ... as they are asked for."""
+
+    def __missing__(self, key: int) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class Aligner:
     """Two tokenizer files, and what they make of every segment met so far.
 
     A segment is text between cuts that both tokenizers have whatever stands
-    around: ends of words of the byte-level split pattern that are starts of
-    runs of blanks, across which no piece of the other model reaches.  So each
-    distinct segment is encoded and aligned once.
+    around: ends of words of the byte-level split pattern between two
+    characters that no piece of the other model holds side by side, so that
+    none can reach across.  Each distinct segment is encoded and aligned once.
     """
 
     def __init__(self, bytes_file: str, pieces_file: str) -> None:
         self.words = words_of(bytes_file)
-        self.size_a = pieces(bytes_file)[2].tolist()
+        self.size_a = pieces(bytes_file)[2]
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces_file)
         every = range(self.model.get_piece_size())
         names = [self.model.id_to_piece(i) for i in every]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in zip(every, names)]
-        if any(BLANK in p.lstrip(BLANK) for p in names):
-            raise ValueError("a piece model whose pieces hold blanks only at their start is expected")
-        self.blank = self.model.piece_to_id(BLANK)
+        self.size_b = np.array(list(map(len, self.bytes_b)))
+        self.lead = self.model.encode("\n")
+        if self.bytes_b[self.lead[-1]] != b"\n" or any("\n" in p for p in names):
+            raise ValueError("a piece model without pieces that hold a line end is expected")
+        self.classes, self.joined = self.neighbours([p.replace(BLANK, " ") for i, p in zip(every, names) if not self.model.is_byte(i)])
         self.forget()
 
+    @staticmethod
+    def neighbours(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every code point, and which classes stand side by side in a piece; 0 is any other code point."""
+        number = {c: i + 1 for i, c in enumerate(sorted(set("".join(names))))}
+        classes = np.zeros(0x110000, dtype=np.uint16)
+        classes[[ord(c) for c in number]] = list(number.values())
+        joined = np.zeros((len(number) + 1,) * 2, dtype=bool)
+        for name in names:
+            for x, y in zip(name, name[1:]):
+                joined[number[x], number[y]] = True
+        return classes, joined
+
+    def units(self, text: str) -> list[int]:
+        """Where no piece can reach across, with the text's end."""
+        kinds = self.classes[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+        return [*(np.flatnonzero(~self.joined[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pair_numbers: dict[int, int] = {}
-        self.pairs = array("q")  # number -> a id << 32 | b id
-        self.texts: list[bytes] = []  # segment -> its groups
+        self.pairs = Numbers()  # a id << 32 | b id -> number
+        self.texts: list[str] = []  # segment -> its groups
         self.sizes = array("q")  # segment -> n_a, n_b, n_groups, whether B gives its bytes
         self.flat, self.starts = array("I"), array("q", [0])  # segment -> numbers of its links' pairs
         self.weight = 0
@@ -112,50 +131,56 @@ class Aligner:
     def full(self) -> bool:
         return len(self.known) > MEMORY or self.weight > MEMORY_CHARS
 
-    def encode_b(self, segment: str) -> list[int]:
-        """Pieces of a segment that starts with a blank, which the model itself puts before a text."""
-        return self.model.encode(segment[1:]) if len(segment) > 1 else [self.blank]
-
-    def learn(self, segment: str) -> int:
-        a = list(chain.from_iterable(map(self.words.encode, self.words.find(segment))))
-        b = self.encode_b(segment)
-        data = segment.encode()
-        same = b"".join(map(self.bytes_b.__getitem__, b)) == data
-        groups, text = [], []
-        if same:
-            ends_a = list(accumulate(map(self.size_a.__getitem__, a)))
-            ends_b = list(accumulate(len(self.bytes_b[i]) for i in b))
-            groups = shared_groups(ends_a, ends_b)
-            for a0, a1, b0, b1 in groups:
-                text.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-                for i, j in links(ends_a, ends_b, (a0, a1, b0, b1)):
-                    pair = a[i] << 32 | b[j]
-                    number = self.pair_numbers.setdefault(pair, len(self.pair_numbers))
-                    if number == len(self.pairs):
-                        self.pairs.append(pair)
-                    self.flat.append(number)
-        self.starts.append(len(self.flat))
-        self.sizes.extend((len(a), len(b), len(groups), same))
-        self.texts.append(";".join(text).encode())
-        number = self.known[segment] = len(self.known)
-        self.weight += len(segment)
-        return number
-
-    def segments(self, text: str) -> list[int]:
-        """Numbers of the segments of blank + text, divided at the cuts that words and units share."""
-        if not text or BLANK in text:
-            return []
-        text = " " + text
+    def encode_b(self, segments: list[str]) -> list[list[int]]:
+        """Pieces of segments alone: the blank that the model puts before a text stays before a line end."""
+        return [ids[len(self.lead) :] for ids in self.model.encode(["\n" + s for s in segments], num_threads=1)]
+
+    def learn(self, segments: list[str]) -> None:
+        """Encode and align segments not met before, in one sequence: their ends are cuts like all others."""
+        a = [list(chain.from_iterable(map(self.words.encode, self.words.find(s)))) for s in segments]
+        b = self.encode_b(segments)
+        data = [s.encode() for s in segments]
+        same = [b"".join(map(self.bytes_b.__getitem__, own)) == d for own, d in zip(b, data, strict=True)]
+        a, b = ([own if ok else [] for own, ok in zip(side, same, strict=True)] for side in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(side), dtype=np.int64) for side in (a, b))
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        borders = np.cumsum([len(d) * ok for d, ok in zip(data, same, strict=True)])
+        groups = shared_groups(ends_a.tolist(), ends_b.tolist())
+        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        written = [
+            f"{names_a[a0]}|{names_b[b0]}" if a1 - a0 == 1 == b1 - b0 else f"{','.join(names_a[a0:a1])}|{','.join(names_b[b0:b1])}"
+            for a0, a1, b0, b1 in groups
+        ]
+        until = np.searchsorted(ends_a[[g[1] - 1 for g in groups]], borders, side="right") if groups else np.zeros(len(data), np.int64)
+        before = np.concatenate([[0], until[:-1]])
+        self.texts += [";".join(written[i:j]) for i, j in zip(before.tolist(), until.tolist(), strict=True)]
+        pairs, until_link = self.links(flat_a, flat_b, ends_a, ends_b, borders)
+        self.starts.extend((len(self.flat) + until_link).tolist())
+        self.flat.extend(map(self.pairs.__getitem__, pairs.tolist()))
+        sizes = np.stack([list(map(len, a)), list(map(len, b)), until - before, same], axis=1)
+        self.sizes.extend(sizes.ravel().tolist())
+        self.known |= zip(segments, range(len(self.known), len(self.known) + len(segments)))
+        self.weight += sum(map(len, segments))
+
+    @staticmethod
+    def links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id pairs of all links, one for each stretch between ends of either side, and how many end by each border."""
+        ends = np.union1d(ends_a, ends_b)
+        pairs = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+        return pairs, np.searchsorted(ends, borders, side="right")
+
+    def segments(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the segments of blank + text, divided at the cuts that words and pieces share."""
+        found = [self.cut(" " + text) if text and BLANK not in text else [] for text in texts]
+        new = [s for s in dict.fromkeys(chain.from_iterable(found)) if s not in self.known]
+        if new:
+            self.learn(new)
+        return [list(map(self.known.__getitem__, own)) for own in found]
+
+    def cut(self, text: str) -> list[str]:
         ends = list(accumulate(map(len, self.words.find(text))))
-        units = [m.start() for m in UNITS.finditer(text)]
-        units.append(len(text))
-        found, at = [], 0
-        for _, a1, _, _ in shared_groups(ends, units):
-            segment = text[at : ends[a1 - 1]]
-            at = ends[a1 - 1]
-            number = self.known.get(segment)
-            found.append(self.learn(segment) if number is None else number)
-        return found
+        cuts = [ends[group[1] - 1] for group in shared_groups(ends, self.units(text))]
+        return [text[i:j] for i, j in zip([0, *cuts], cuts)]
 
 
 @functools.cache
@@ -186,7 +211,7 @@ def align_blocks(docs: DataFrame, bytes_file: str, pieces_file: str, digest: boo
 
         def finish() -> Iterator[pa.RecordBatch]:
             used = np.flatnonzero(totals)
-            pairs = np.array(own.pairs, dtype=np.int64)
+            pairs = np.fromiter(own.pairs, dtype=np.int64, count=len(own.pairs))
             for part in np.array_split(used, len(used) // 50_000 + 1):
                 yield batch_of(len(part), block=np.full(len(part), task << 20 | at), kind=np.zeros(len(part), np.int32),
                                number=part, pair=pairs[part], n=totals[part])
@@ -198,7 +223,7 @@ def align_blocks(docs: DataFrame, bytes_file: str, pieces_file: str, digest: boo
                 if own.full():
                     own.forget()
             texts = batch.column("text").to_pylist()
-            found = [own.segments(t) for t in texts]
+            found = own.segments(texts)
             chars += sum(map(len, texts))
             sizes = np.array(own.sizes, dtype=np.int64).reshape(-1, 4)
             found = [f if sizes[f, 3].all() else [] for f in found] if not sizes[:, 3].all() else found
@@ -214,8 +239,8 @@ def align_blocks(docs: DataFrame, bytes_file: str, pieces_file: str, digest: boo
             numbers, cuts = keys & 0xFFFFFFFF, np.searchsorted(keys >> 32, np.arange(len(found) + 1))
             totals = np.pad(totals, (0, len(own.pairs) - len(totals)))
             np.add.at(totals, numbers, counts)
-            groups = [b";".join(map(own.texts.__getitem__, f)) for f in found]
-            groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups] if digest else [g.decode() for g in groups]
+            groups = [";".join(map(own.texts.__getitem__, f)) for f in found]
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else groups
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
             yield batch_of(
                 len(found), block=np.full(len(found), task << 20 | at), kind=np.ones(len(found), np.int32), doc_id=batch.column("doc_id"),
