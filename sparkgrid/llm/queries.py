@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from sparkgrid.llm import alignment, bpe, fingerprints, mixing, packing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
+from sparkgrid.llm import alignment, bpe, fingerprints, mixing, negatives, packing, paragraphs, quality, secrets, shards, simhash, tokenfiles, toxicity
 from sparkgrid.llm.tables import read
 
 #: byte-level BPE of 50,257 ids
@@ -172,3 +172,30 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align_documents(read(spark, sf_dir), TOKENIZER, PIECES, digest=True)
     return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return negatives.hard_negatives(rows.withColumn("label", moved), anchors_every=50, positives=5, negatives=3, low=50, high=95)
+
+
+ORACLES["op12_negatives"] = """
+WITH items AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, i.vec_id AS id, a.label = i.label AS same, CAST(list_dot_product(a.v, i.v) AS BIGINT) AS score
+    FROM items a, items i WHERE a.vec_id % 50 = 0 AND a.vec_id <> i.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scores n USING (anchor_id)
+WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3"""
