@@ -52,14 +52,14 @@ class Index:
         upper, lower = self.bounds(vector)
         orders = [np.argsort(-u, kind="stable") for u in upper]
         ranked = [u[o].tolist() for u, o in zip(upper, orders, strict=True)]
-        k = len(ranked[0])
+        rows, columns = map(len, ranked)
         heap, seen = [(-(ranked[0][0] + ranked[1][0]), 0, 0)], {(0, 0)}
         while heap:
             bound, a, b = heapq.heappop(heap)
             i, j = int(orders[0][a]), int(orders[1][b])
-            yield -bound, float(lower[0][i] + lower[1][j]), i * k + j
+            yield -bound, float(lower[0][i] + lower[1][j]), i * columns + j
             for x, y in ((a + 1, b), (a, b + 1)):
-                if x < k and y < len(ranked[1]) and (x, y) not in seen:
+                if x < rows and y < columns and (x, y) not in seen:
                     seen.add((x, y))
                     heapq.heappush(heap, (-(ranked[0][x] + ranked[1][y]), x, y))
 
@@ -222,7 +222,7 @@ def scored(visits: DataFrame, slices: DataFrame, width: int, same: bool, most: i
             q = np.array([x["q"] for x in queries], dtype=np.int64)[of[r]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q, w[r], score[keep], ids[keep])], names=["q", "w", "score", "id"])
 
-    return visits.join(slices, ["cell", "slice"]).select("queries", "members").mapInArrow(score, "q long, w long, score long, id long")
+    return visits.join(slices.hint("merge"), ["cell", "slice"]).select("queries", "members").mapInArrow(score, "q long, w long, score long, id long")
 
 
 def first_rows(rows: DataFrame, most: int) -> DataFrame:
