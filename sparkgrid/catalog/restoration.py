@@ -14,15 +14,18 @@ from sparkgrid.core import extents, rnd
 from sparkgrid.fixtures import with_sql
 from sparkgrid.operators import tiles as tl
 from sparkgrid.operators.kernel import separable
-from sparkgrid.plans import batch as bt, restore as rs, tiled as td
+from sparkgrid.plans import batch as bt, keyed, restore as rs, routing as rt, tiled as td
 
 
-def start_sql(fixture: str, taps, offset: float = 5.0, x0: str = "greatest(q.mean, q.bg)") -> str:
+AUTO = "SELECT img, c, quantile_disc(v, 0.5) AS bg FROM low GROUP BY img, c"
+
+
+def start_sql(fixture: str, taps, offset: float = 5.0, x0: str = "greatest(q.mean, q.bg)", bg: str = AUTO, before: str | None = None) -> str:
     """CTEs up to ``s0``: observed image, background, work box, weights, start."""
-    return with_sql(fixture) + LOW(fixture, 0.1) + f""",
+    return (before or with_sql(fixture) + LOW(fixture, 0.1)) + f""",
 {taps_sql(taps)},
 par AS (SELECT a.img, a.c, greatest(a.bg, 1e-6) + {offset} AS bg, b.mean FROM
-  (SELECT img, c, quantile_disc(v, 0.5) AS bg FROM low GROUP BY img, c) a JOIN
+  ({bg}) a JOIN
   (SELECT img, c, avg(v + {offset}) AS mean FROM {fixture} GROUP BY img, c) b USING (img, c)),
 im AS MATERIALIZED (SELECT s.img, s.c, s.z, s.y, s.x, s.v + {offset} AS d, q.bg FROM {fixture} s JOIN par q USING (img, c)),
 box AS MATERIALIZED (SELECT DISTINCT img, c, z - dz AS z, y - dy AS y, x - dx AS x FROM im, k),
@@ -303,12 +306,78 @@ def _r17c(spark, sf):
     return _cells(td.restore_tiled(cells, taps_block(K35), one, sparse=(0.6, 0.9), niter=3).cells)
 
 
-@query("r17_restore_tiled")
+def tiles_sql(niter: int, overlap: int = 2, margin: int = 16) -> str:
+    """Every tile of the week grid as an image of its own, then the blend."""
+    ext = lambda a, n: f"""greatest({a}0 - {overlap}, 0) AS {a}0, least({a}1 + {overlap}, {n}) AS {a}1,
+  {a}0 - greatest({a}0 - {overlap}, 0) AS {a}b, least({a}1 + {overlap}, {n}) - {a}1 AS {a}a, {n}"""
+    core = TILES[: TILES.index("ti AS")]
+    tiles = f"""{core}ti AS (SELECT iy || '#' || ix AS img, {ext('y', 'h')}, {ext('x', 'w')} FROM a),
+tm AS (SELECT *, greatest(y0 - {margin}, 0) AS ym, greatest(x0 - {margin}, 0) AS xm FROM ti),
+cells_tl AS (SELECT tm.img, 0 AS t, 0 AS c, 0 AS z, y - ym AS y, x - xm AS x, v FROM cells_wk JOIN tm
+  ON y >= ym AND y < y1 + {margin} AND x >= xm AND x < x1 + {margin})"""
+    sql = start_sql("cells_tl", K35, before=tiles + LOW("cells_tl", 0.1))
+    for k in range(1, niter + 1):
+        sql += data_sql(k, "coalesce(corr, 0)") + f""",
+s{k} AS MATERIALIZED (SELECT img, c, z, y, x, w, bg, d, xc AS xp, greatest(v, bg) AS xc FROM u{k})"""
+    ramp = lambda a: (f"CASE WHEN {a} < {a}0 + {a}b THEN ({a} - {a}0 + 1) / {a}b ELSE 1 END"
+                      f" * CASE WHEN {a} >= {a}1 - {a}a THEN ({a}1 - {a}) / {a}a ELSE 1 END")
+    return sql + f""",
+back AS (SELECT tm.*, s.y + ym AS y, s.x + xm AS x, greatest(xc - 5, 0) AS v FROM s{niter} s JOIN tm USING (img) WHERE d IS NOT NULL),
+bl AS (SELECT y, x, v, {ramp('y')} * {ramp('x')} AS w FROM back WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1)
+SELECT 'li' AS img, 0 AS c, 0 AS z, y, x, round(greatest(sum(w * v) / greatest(sum(w), 1e-12), 0), 6) AS v FROM bl GROUP BY y, x"""
+
+
+@query("r17_restore_tiled", tiles_sql(10))
 def _r17d(spark, sf):
     cells = fx.cells_wk(spark, sf)
     return _cells(td.restore_tiled(cells, taps_block(K35), _wk_grid(spark, sf), niter=10).cells)
 
 
+def _kernel_table(spark, taps, **more):
+    """Taps as a kernel table with constant group columns."""
+    df = spark.createDataFrame(list(taps), "dz int, dy int, dx int, w double")
+    return df.withColumns({k: F.lit(v).cast("int") for k, v in more.items()})
+
+
+@query("r17_restore_tiles", tiles_sql(3))
+def _r17e(spark, sf):
+    """Tiles as images of their own, in blocks."""
+    r = rt.restore_tiles(fx.cells_wk(spark, sf), _kernel_table(spark, K35), _wk_grid(spark, sf), niter=3, dense_block=64)
+    return _cells(r.cells)
+
+
+#: an asymmetric kernel for the channels from the second on
+K22 = separable([1.0], [0.5, 1.0], [0.25, 1.0, 0.5])
+
+
+def channels_sql(fixture: str, first: str, rest: str, where: str = "c = 0") -> str:
+    """Rows of ``first`` for the first channel and of ``rest`` for the others."""
+    return f"SELECT * FROM ({first}) WHERE {where} UNION ALL SELECT * FROM ({rest}) WHERE NOT ({where})"
+
+
+@query("r11_per_channel", channels_sql(
+    "cells_ev", rl_sql("cells_ev", K35, 3, bg="SELECT DISTINCT img, c, 0.25 AS bg FROM cells_ev") + result_sql(3),
+    rl_sql("cells_ev", K22, 3, bg="SELECT DISTINCT img, c, 0.5 AS bg FROM cells_ev", offset=2.0) + result_sql(3, 2.0)))
+def _r11e(spark, sf):
+    """A kernel, a background and an offset of its own for each channel."""
+    kernels = _kernel_table(spark, K35, c=0)
+    for c in range(1, 5):
+        kernels = kernels.unionByName(_kernel_table(spark, K22, c=c))
+    params = spark.createDataFrame([(0, 0.25, None)] + [(c, 0.5, 2.0) for c in range(1, 5)], "c int, background double, offset double")
+    return _cells(keyed.restore_each(fx.cells_ev(spark, sf), kernels, ["c"], params, niter=3, dense_block=16).cells)
+
+
+@query("r14_retired_images", channels_sql(
+    "cells_ev", rl_sql("cells_ev", K35, 2) + result_sql(2), rl_sql("cells_ev", K35, 4) + result_sql(4), "c < 2"))
+def _r14c(spark, sf):
+    """Channels that end at different updates: finished ones leave the working set."""
+    params = spark.createDataFrame([(c, 2 if c < 2 else 4) for c in range(5)], "c int, niter int")
+    kernels = _kernel_table(spark, K35, c=0)
+    for c in range(1, 5):
+        kernels = kernels.unionByName(_kernel_table(spark, K35, c=c))
+    return _cells(keyed.restore_each(fx.cells_ev(spark, sf), kernels, ["c"], params, dense_block=32).cells)
+
+
 @query("r15_preset_background", with_sql("cells_evs") + ", " + filter_sql("cells_evs", "f1", "y", [1 / 7] * 7) + ", "
        + filter_sql("f1", "f2", "x", [1 / 7] * 7) + LOW("f2", 0.01) + """,
 lb AS (SELECT img, c, quantile_disc(v, 0.5) AS l FROM low GROUP BY img, c)""" + LOW("cells_evs", 0.1)
@@ -320,13 +389,34 @@ def _r15a(spark, sf):
     return b.select("img", "c", rnd("background").alias("background"))
 
 
-@query("r15_restore_2d_preset")
+#: a 21 x 5 x 5 blur, as weights by axis
+WZ, WG = [math.exp(-0.5 * (i / 4) ** 2) for i in range(-10, 11)], [math.exp(-0.5 * i * i) for i in range(-2, 3)]
+
+
+def _flat_taps():
+    """The blur summed over z: the weights of z are a factor of a separable kernel, whatever its support."""
+    return separable([1.0], WG, WG)
+
+
+def _preset_sql() -> str:
+    both = with_sql("cells_ev") + ", " + filter_sql("cells_ev", "f1", "y", [1 / 7] * 7) + ", " + filter_sql("f1", "f2", "x", [1 / 7] * 7)
+    renamed = lambda sql, n: sql.replace("rk AS", f"rk{n} AS").replace("FROM rk", f"FROM rk{n}").replace("low AS", f"low{n} AS")
+    before = both + renamed(LOW("f2", 0.01), 3) + LOW("cells_ev", 0.1)
+    bg = f"""SELECT img, c, least(l, g) * {rs.PRESETS['conservative'][2]} AS bg FROM
+  (SELECT img, c, quantile_disc(v, 0.5) AS l FROM low3 GROUP BY img, c) JOIN
+  (SELECT img, c, quantile_disc(v, 0.5) AS g FROM low GROUP BY img, c) USING (img, c)"""
+    sql = start_sql("cells_ev", _flat_taps(), 2.5, bg=bg, before=before) + SIGMA.replace("cells_evs", "cells_ev")
+    damp = DAMP.replace("greatest(3.0 *", "greatest(2.0 *")
+    for k in (1, 2, 3):
+        sql += data_sql(k, damp) + f""",
+s{k} AS MATERIALIZED (SELECT img, c, z, y, x, w, bg, d, xc AS xp, greatest(v, bg) AS xc FROM u{k})"""
+    return sql + result_sql(3, 2.5)
+
+
+@query("r15_restore_2d_preset", _preset_sql())
 def _r15(spark, sf):
     cells = fx.cells_ev(spark, sf)
-    # a 21 x 5 x 5 blur for every table, as one kernel row set
-    z = [math.exp(-0.5 * (i / 4) ** 2) for i in range(-10, 11)]
-    g = [math.exp(-0.5 * i * i) for i in range(-2, 3)]
-    k3 = spark.createDataFrame([("k", *t) for t in separable(z, g, g)], "kid string, dz int, dy int, dx int, w double")
+    k3 = spark.createDataFrame([("k", *t) for t in separable(WZ, WG, WG)], "kid string, dz int, dy int, dx int, w double")
     return _cells(rs.restore_2d_preset(cells, k3, "conservative", 3, niter=3, track=False).cells)
 
 
@@ -357,3 +447,38 @@ def _r19b(spark, sf):
 @query("r20_benchmark_methods")
 def _r20(spark, sf):
     return bt.benchmark_methods(spark, fx.cells_ev(spark, sf), K35, niter=2, volume=False, track=False)
+
+
+def _routed_sql() -> str:
+    """The week grid in tiles, event grids whole, and strips of two columns with the kernel cut to them."""
+    cut = bt.crop_taps(K35, (1, 24, 2))
+    cut = [(*t[:3], t[3] / sum(u[3] for u in cut)) for t in cut]
+    strips = rl_sql("cells_ti", cut, 3) + result_sql(3)
+    return f"""SELECT * FROM ({tiles_sql(3)}) UNION ALL SELECT * FROM ({rl_sql('cells_ev', K35, 3) + result_sql(3)})
+UNION ALL SELECT * FROM ({strips}) WHERE img LIKE '%#4'"""
+
+
+@query("r18_restore_routed", _routed_sql())
+def _r18b(spark, sf):
+    """Images above and below the tile limit, and smaller than the kernel, in one call."""
+    strips = fx.cells_t(spark, sf).filter("t = 4").withColumn("img", F.concat_ws("#", "img", F.col("t").cast("string"))).withColumn("t", F.lit(0))
+    wk = fx.cells_wk(spark, sf)
+    side = extents(wk).agg(F.max("nx")).first()[0]
+    cells = wk.unionByName(fx.cells_ev(spark, sf)).unionByName(strips)
+    large = _wk_grid(spark, sf).select("img", "h", "w", "ny", "nx")
+    r = rt.restore_routed(cells, _kernel_table(spark, K35), tile_side=side - 1, grids=large, niter=3, dense_block=64)
+    return _cells(r.cells)
+
+
+@query("r19_plate_per_channel", channels_sql(
+    "cells_pl", rl_sql("cells_pl", K35, 2) + result_sql(2), rl_sql("cells_pl", K22, 3) + result_sql(3), "img LIKE '%/0'"))
+def _r19c(spark, sf):
+    """Fields of plates, each with the kernel and the iterations that belong to it."""
+    cells = fx.cells_ev(spark, sf)
+    cells = cells.withColumn("img", F.concat("img", F.lit("/A/1/"), F.col("c"))).withColumn("c", F.lit(0))
+    fields = fx.channels(spark, sf).select(
+        F.col("img").alias("plate"), F.lit("A").alias("row"), F.lit("1").alias("col"), F.col("c").cast("string").alias("field"))
+    names = fields.select(F.concat_ws("/", "plate", "row", "col", "field").alias("img"), (F.col("field") == "0").alias("first"))
+    both = _kernel_table(spark, K35).withColumn("first", F.lit(True)).unionByName(_kernel_table(spark, K22).withColumn("first", F.lit(False)))
+    params = names.select("img", F.when(F.col("first"), 2).otherwise(3).alias("niter"))
+    return _cells(rt.restore_fields(fields, cells, names.join(both, "first").drop("first"), ["img"], params, dense_block=32))

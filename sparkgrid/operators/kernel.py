@@ -123,10 +123,15 @@ def kernel_summary(kernel: DataFrame) -> DataFrame:
         F.sum("w").alias("total"), F.max("w").alias("peak"))
 
 
-def taps_of(kernel: DataFrame) -> list[tuple[int, int, int, float]]:
-    """One small kernel as Python tuples, for use as a literal; size and number are checked."""
+def single(kernel: DataFrame) -> None:
+    """Refuse a table of several kernels where one is meant."""
     if "kid" in kernel.columns and len(kernel.select("kid").distinct().limit(2).collect()) > 1:
         raise ValueError("several kernels given where one is expected: choose one by kid")
+
+
+def taps_of(kernel: DataFrame) -> list[tuple[int, int, int, float]]:
+    """One small kernel as Python tuples, for use as a literal; size and number are checked."""
+    single(kernel)
     rows = kernel.select(*OFFSETS, "w").limit(MAX_TAPS + 1).collect()
     if len(rows) > MAX_TAPS:
         raise ValueError(f"kernel has more than {MAX_TAPS} taps: use the tiled job")

@@ -485,6 +485,10 @@ def restore_2d_preset(
     **options,
 ) -> Restored:
     """Single-plane images with a kernel collapsed from a 3-D one."""
+    if tv_lambda <= 0:
+        from sparkgrid.plans.routing import restore_planes  # that module builds on this one
+        kn.single(kernel3d)
+        return restore_planes(cells, kernel3d.drop("kid"), (), preset, radius, bg_scale, **options)
     preset = preset.strip().lower()
     damping, offset, factor = PRESETS.get(preset, PRESETS["balanced"])
     flat = kn.kernel_collapse_z(kn.kernel_crop_support(kernel3d), preset)

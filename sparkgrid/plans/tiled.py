@@ -11,7 +11,9 @@ from sparkgrid.core import KEYS, extents, reusable, settle
 from sparkgrid.operators import tiles as tl
 from sparkgrid.operators.stencil import gaussian_weights
 from sparkgrid.plans import dense
+from sparkgrid.operators.kernel import single
 from sparkgrid.plans.restore import Options, Restored, momentum_weight
+from sparkgrid.plans.routing import coarsened
 
 
 MARGIN = 16
@@ -23,6 +25,7 @@ OUT = "img string, t int, c int, z int, y int, x int, v double, iy int, ix int,
 
 def kernel_array(kernel: DataFrame) -> np.ndarray:
     """One kernel table as a dense block; its size is checked first."""
+    single(kernel)
     rows = kernel.select("dz", "dy", "dx", "w").limit(MAX_KERNEL + 1).toPandas()
     if len(rows) > MAX_KERNEL:
         raise ValueError(f"kernel has more than {MAX_KERNEL} entries")
@@ -55,8 +58,8 @@ def restore_tiled(
 ) -> Restored:
     """Solve every (image, time, channel, tile) on its own; two exchanges in all.
 
-    Each tile estimates its own background and stops on its own.  Images whose
-    tiles would be smaller than the kernel are solved as one tile.
+    Each tile estimates its own background and stops on its own.  Grids whose
+    tiles would be smaller than the kernel are made coarser.
     """
     opt = Options(**options)
     if isinstance(opt.background, DataFrame):
@@ -65,9 +68,7 @@ def restore_tiled(
     cells = reusable(cells)
     if grids is None:
         grids = auto_grid(extents(cells), budget, max(kernel.shape[-2:]))
-    small = F.least(F.col("h") / F.col("ny"), F.col("w") / F.col("nx")) < max(kernel.shape[-2:])
-    whole = lambda n: F.when(small, F.lit(1)).otherwise(F.col(n)).cast("int").alias(n)
-    grids = settle(grids.select("img", "h", "w", whole("ny"), whole("nx")))
+    grids = settle(coarsened(grids, max(kernel.shape[-2:])))
     job = dense.Job(
         kernel=kernel, momentum=[momentum_weight(k) for k in range(1, opt.niter + 1)], offset=opt.offset_value,
         background=None if opt.background == "auto" else float(opt.background), damping=opt.damp_strength,
