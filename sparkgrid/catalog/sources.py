@@ -189,3 +189,74 @@ def _s13(spark, sf):
     ints = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",")
     return d.select("img", F.array_join("names", ",").alias("names"), ints("emission").alias("emission"),
                     ints("excitation").alias("excitation"), "description")
+
+
+CHANNELS_RESOLVED = with_sql("channels") + """,
+im AS (SELECT img, (sum(n) % 8)::INT AS n FROM channels GROUP BY img),
+sl AS (SELECT img, unnest(range(n))::INT AS c FROM im),
+al AS (SELECT s.img, s.c, coalesce(h.name, 'Ch' || s.c) AS name, h.emission, h.excitation FROM sl s LEFT JOIN channels h USING (img, c)),
+us AS (SELECT * FROM (VALUES (0, 610.0, NULL), (1, NULL, 405.0), (3, 700.0, 640.0)) u(c, em, ex)),
+rs AS (SELECT img, c, name, coalesce({em}, 520.0)::DOUBLE AS emission,
+  CASE WHEN {ef} ELSE 'default' END AS emission_from, coalesce({ex})::DOUBLE AS excitation, CASE WHEN {xf} END AS excitation_from
+  FROM al LEFT JOIN us USING (c))"""
+USER_FIRST = CHANNELS_RESOLVED.format(
+    em="em, emission", ef="em IS NOT NULL THEN 'user' WHEN emission IS NOT NULL THEN 'file'", ex="ex, excitation",
+    xf="ex IS NOT NULL THEN 'user' WHEN excitation IS NOT NULL THEN 'file'")
+FILE_FIRST = CHANNELS_RESOLVED.format(
+    em="emission, em", ef="emission IS NOT NULL THEN 'file' WHEN em IS NOT NULL THEN 'user'", ex="excitation, ex",
+    xf="excitation IS NOT NULL THEN 'file' WHEN ex IS NOT NULL THEN 'user'")
+WAVES = ([610.0, None, None, 700.0], [None, 405.0, None, 640.0])
+
+
+def _metadata_images(spark, sf):
+    return fx.channels(spark, sf).groupBy("img").agg((F.sum("n") % 8).cast("int").alias("n"), F.max("n").alias("m")).select(
+        "img", "n", (F.col("m") % 3).cast("int").alias("size_z"), F.when(F.col("n") > 3, F.lit(1.2)).alias("na"),
+        F.when(F.col("n") % 2 == 0, F.col("m") / 8).alias("pixel_size_x"))
+
+
+@query("p1_channel_wavelengths", USER_FIRST + " SELECT img, c, name, emission, emission_from, excitation, excitation_from FROM rs")
+def _p1c(spark, sf):
+    rows = md.align_channels(_metadata_images(spark, sf).select("img", "n"), fx.channels(spark, sf).select("img", "c", "name", "emission", "excitation"))
+    return md.resolve_channels(rows, *WAVES)
+
+
+@query("p1_resolve_all", FILE_FIRST + """,
+d AS (SELECT img, bool_or(emission_from = 'default') AS em FROM rs GROUP BY img),
+m AS (SELECT img, max(n) AS m FROM channels GROUP BY img)
+SELECT im.img, coalesce(CASE WHEN n > 3 THEN 1.2 END, 1.45)::DOUBLE AS na, coalesce(CASE WHEN n % 2 = 0 THEN m / 8 END, 0.065)::DOUBLE AS pixel_size_x,
+  1.47::DOUBLE AS sample_refractive_index,
+  concat_ws(',', 'refractive_index', 'microscope_type', CASE WHEN n % 2 = 1 THEN 'pixel_size_x' END, 'pixel_size_y', 'pixel_size_z',
+    CASE WHEN em THEN 'emission_wavelength' END) AS defaulted
+FROM im JOIN m USING (img) LEFT JOIN d USING (img)""")
+def _p1d(spark, sf):
+    """User values as fallbacks, assumed keys listed, a wavelength list per channel."""
+    images, _ = md.resolve_all(
+        _metadata_images(spark, sf), fx.channels(spark, sf).select("img", "c", "name", "emission", "excitation"), {"na": 1.45}, *WAVES, overrule=False)
+    return images.select("img", "na", "pixel_size_x", "sample_refractive_index", F.array_join("defaulted", ",").alias("defaulted"))
+
+
+@query("s13_document", FILE_FIRST + """,
+m AS (SELECT img, max(n) AS m FROM channels GROUP BY img),
+l AS (SELECT img, string_agg(c || ':' || coalesce(excitation::INT::VARCHAR, '-'), ',' ORDER BY c) AS places,
+  string_agg(excitation::INT::VARCHAR, ',' ORDER BY c) AS known, string_agg(name, ',' ORDER BY c) AS names FROM rs GROUP BY img)
+SELECT im.img, CASE WHEN m % 3 > 1 THEN 'CZYX' ELSE 'CYX' END AS axes, CASE WHEN n % 2 = 0 THEN m / 8 END::DOUBLE AS size_x,
+  CASE WHEN n % 2 = 0 THEN 'µm' END AS unit_x, l.places, l.known, l.names, CASE WHEN n > 3 THEN 'NA=1.2; ' ELSE '' END || 'RI=1.5' AS description
+FROM im JOIN m USING (img) LEFT JOIN l USING (img)""")
+def _s13b(spark, sf):
+    """The document read back: axes, sizes with units, channels at their places."""
+    images = _metadata_images(spark, sf)
+    rows = md.resolve_channels(
+        md.align_channels(images.select("img", "n"), fx.channels(spark, sf).select("img", "c", "name", "emission", "excitation")), *WAVES, overrule=False)
+    nothing = lambda t: F.lit(None).cast(t)
+    d = md.metadata_documents(images.withColumns({
+        "refractive_index": F.lit(1.5), "microscope_type": nothing("string"), "magnification": nothing("double"), "immersion": nothing("string")}), rows)
+    doc = F.from_json("document", "axes string, PhysicalSizeX double, PhysicalSizeXUnit string, Description string, "
+                      "Channel struct<Name: array<string>, ExcitationWavelength: array<double>>, "
+                      "Channels array<struct<Index: int, ExcitationWavelength: double>>")
+    ints = lambda v: v.cast("int").cast("string")
+    place = lambda s: F.concat_ws(":", s["Index"].cast("string"), F.coalesce(ints(s["ExcitationWavelength"]), F.lit("-")))
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return d.select("img", doc.alias("d")).select(
+        "img", F.col("d.axes").alias("axes"), F.col("d.PhysicalSizeX").alias("size_x"), F.col("d.PhysicalSizeXUnit").alias("unit_x"),
+        joined(F.transform("d.Channels", place)).alias("places"), joined(F.transform("d.Channel.ExcitationWavelength", ints)).alias("known"),
+        joined(F.col("d.Channel.Name")).alias("names"), F.col("d.Description").alias("description"))

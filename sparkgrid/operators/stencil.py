@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, extents, reusable
+from sparkgrid.core import AXES, BLOCK, CELL, KEYS, attach, extents, reusable, settle
 from sparkgrid.functions.scalar import anscombe, clip, inverse_anscombe
 from sparkgrid.operators.neighbors import scatter, stencil
 from sparkgrid.operators.rank import background_level
@@ -125,11 +125,49 @@ def penalty_term(w: float) -> Column:
     return F.sqrt(w * w * hess + (1 - w) * (1 - w) * sq("v") + 1e-8)
 
 
+def squeezed(cells: DataFrame, dims: DataFrame) -> DataFrame:
+    """Stacks with a single row or column as single planes; ``dims`` has ``_nz, _ny, _nx``, which are kept."""
+    deep = F.col("_nz") > 1
+    row, column = deep & (F.col("_ny") == 1), deep & (F.col("_ny") > 1) & (F.col("_nx") == 1)
+    rest = [c for c in cells.columns if c not in AXES]
+    return attach(cells, dims, KEYS, settled=True).select(
+        *rest, F.when(row | column, F.lit(0)).otherwise(F.col("z")).alias("z"),
+        F.when(row | column, F.col("z")).otherwise(F.col("y")).alias("y"),
+        F.when(column, F.col("y")).otherwise(F.col("x")).alias("x"), "_nz", "_ny", "_nx")
+
+
+def unsqueezed(cells: DataFrame, dims: DataFrame) -> DataFrame:
+    """The inverse of :func:`squeezed`."""
+    deep = F.col("_nz") > 1
+    row, column = deep & (F.col("_ny") == 1), deep & (F.col("_ny") > 1) & (F.col("_nx") == 1)
+    rest = [c for c in cells.columns if c not in AXES]
+    return attach(cells, dims, KEYS, settled=True).select(
+        *rest, F.when(row | column, F.col("y")).otherwise(F.col("z")).alias("z"),
+        F.when(row, F.lit(0)).when(column, F.col("x")).otherwise(F.col("y")).alias("y"),
+        F.when(column, F.lit(0)).otherwise(F.col("x")).alias("x"))
+
+
+def sizes_of(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(*KEYS).agg(*[(F.max(a) + 1).cast("int").alias(f"_n{a}") for a in AXES])
+
+
+def flat_stacks(dims: DataFrame) -> bool:
+    """Whether any stack has a single row or column."""
+    return not dims.filter((F.col("_nz") > 1) & (F.least("_ny", "_nx") == 1)).isEmpty()
+
+
 def sparse_hessian_penalty(
     cells: DataFrame, w: float = 0.6, z_scale: float = 1.0, volume: bool = True, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Mean penalty per image; 0 where no side has an interior."""
+    """Mean penalty per image; 0 where no side has an interior.
+
+    An axis of length one is left out, whichever it is.
+    """
     w = min(max(w, 0.0), 1.0)
+    if volume and all(k in cells.columns for k in KEYS):
+        dims = settle(sizes_of(cells))
+        if flat_stacks(dims):
+            cells = squeezed(cells, dims).drop("_nz", "_ny", "_nx")
     inner = hessian(cells, z_scale, volume).groupBy(*keys).agg(F.avg(penalty_term(w)).alias("_p"))
     return attach(cells.select(*keys).distinct(), inner, list(keys), "left").select(
         *keys, F.coalesce("_p", F.lit(0.0)).alias("penalty"))
@@ -141,9 +179,15 @@ def sparse_hessian_gradient(
     """Closed-form gradient of the penalty for every cell (column ``g``).
 
     Each interior cell sends its share to the cells of its stencil.  Cells
-    without an interior neighbour get 0 and are kept.
+    without an interior neighbour get 0 and are kept.  An axis of length one is
+    left out, whichever it is.
     """
     w = min(max(w, 0.0), 1.0)
+    if volume:
+        whole = settle(sizes_of(cells))
+        if flat_stacks(whole):
+            planes = squeezed(cells, whole).drop("_nz", "_ny", "_nx")
+            return unsqueezed(sparse_hessian_gradient(settle(planes), w, z_scale, True), whole).select(*CELL, "g")
     dims = cells.groupBy(*KEYS).agg(*[(F.max(a) + 1).alias(f"_n{a}") for a in AXES])
     inner = F.when(F.col("_nz") == 1, F.lit(1)).otherwise(F.col("_nz") - 2) * (F.col("_ny") - 2) * (F.col("_nx") - 2)
     h = attach(hessian(cells, z_scale, volume), dims.select(*KEYS, inner.alias("_count")), KEYS)
@@ -209,9 +253,10 @@ def gaussian_smooth(
     """
     if sigma <= 0:
         return cells.select(*CELL, "v")
-    dims = extents(cells, KEYS) if dims is None else dims
-    out = attach(cells.select(*CELL, "v"), dims, [k for k in KEYS if k in dims.columns])
-    for a in axes:
+    dims = settle(extents(cells, KEYS) if dims is None else dims)
+    longest = dims.agg(*[F.max(f"n{a}").alias(a) for a in axes]).first()
+    out = attach(cells.select(*CELL, "v"), dims, [k for k in KEYS if k in dims.columns], settled=True)
+    for a in (a for a in axes if (longest[a] or 0) > 1):  # no exchange along an axis that no image has
         out = reflect_filter(out, a, gaussian_weights(sigma))
     return out.select(*CELL, "v")
 

@@ -88,14 +88,17 @@ def benchmark_methods(
     niter: int = 10,
     methods: Sequence[str] = tuple(METHODS),
     quality: bool = True,
-    crop: bool = True,
+    crop: tuple[int, int, int] | None = None,
+    sample: tuple[int, int] | None = None,
     **params,
 ) -> DataFrame:
-    """Time each method on one central crop; a failing method is left out.
+    """Time each method on the same cells; a failing method is left out.
 
-    If all fail, the last error is raised.
+    ``crop`` (planes, rows, columns) asks for a central crop instead of whole
+    images, ``sample`` for metrics of a strided sample.  If all methods fail,
+    the last error is raised.
     """
-    crop_cells = settle(center_crop(cells) if crop else cells)
+    crop_cells = settle(center_crop(cells, *crop) if crop else cells)
     tables, failed = [], ValueError("no methods given")
     for m in methods:
         t0 = time.perf_counter()
@@ -106,7 +109,7 @@ def benchmark_methods(
             continue
         row = F.lit(f"{m}_{niter}i").alias("label"), F.lit(round(time.perf_counter() - t0, 3)).alias("time_s")
         if quality:
-            q = effect_metrics(result)
+            q = effect_metrics(result, sample)
             names = [c for c in q.columns if c not in ("img", "t", "c")]
             tables.append(q.groupBy().agg(F.count(F.lit(1)).alias("channels_compared"), *[F.avg(n).alias(f"{n}_mean") for n in names])
                           .select(*row, "*"))

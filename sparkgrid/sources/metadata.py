@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,8 +141,65 @@ def align_channels(images: DataFrame, channels: DataFrame) -> DataFrame:
     return joined.withColumn("name", F.coalesce("name", F.concat(F.lit("Ch"), F.col("c"))))
 
 
+# What is assumed without being reported as assumed, and the wavelength of an unknown channel.
+QUIET_DEFAULTS = {"sample_refractive_index": 1.47}
+DEFAULT_EMISSION = 520.0
+
+
+def resolve_channels(
+    channels: DataFrame,
+    emission: Sequence[float | None] = (),
+    excitation: Sequence[float | None] = (),
+    overrule: bool = True,
+    default: float = DEFAULT_EMISSION,
+) -> DataFrame:
+    """Merge lists of wavelengths by channel into aligned channel rows, and say where each value came from.
+
+    The i-th value belongs to channel i; a null or missing one leaves the
+    channel as the file has it.  With ``overrule=False`` the lists only fill
+    gaps.  ``emission_from`` and ``excitation_from`` are ``file``, ``user``,
+    ``default`` or null; only emission has a default.
+    """
+    def merged(name: str, values: Sequence[float | None], fallback: float | None) -> list[Column]:
+        given = F.array(*[F.lit(v).cast("double") for v in values]) if values else F.array().cast("array<double>")
+        user, own = F.get(given, F.col("c")), F.col(name).cast("double")
+        first, second = ((user, "user"), (own, "file")) if overrule else ((own, "file"), (user, "user"))
+        origin = F.when(first[0].isNotNull(), F.lit(first[1])).when(second[0].isNotNull(), F.lit(second[1]))
+        origin = origin.otherwise(F.lit(None if fallback is None else "default"))
+        return [F.coalesce(first[0], second[0], F.lit(fallback).cast("double")).alias(name), origin.alias(f"{name}_from")]
+
+    rest = [c for c in channels.columns if c not in ("emission", "excitation")]
+    return channels.select(*rest, *merged("emission", emission, default), *merged("excitation", excitation, None))
+
+
+def resolve_all(
+    images: DataFrame,
+    channels: DataFrame,
+    user: Mapping[str, object],
+    emission: Sequence[float | None] = (),
+    excitation: Sequence[float | None] = (),
+    overrule: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Image rows and exactly ``n`` channel rows each, resolved; ``defaulted`` also tells of assumed wavelengths."""
+    rows = resolve_channels(align_channels(images.select("img", "n"), channels), emission, excitation, overrule)
+    merged = resolve_metadata(images, user, overrule)
+    for key, value in QUIET_DEFAULTS.items():
+        own = F.col(key).cast("double") if key in images.columns else F.lit(None).cast("double")
+        given = F.lit(user.get(key)).cast("double")
+        merged = merged.withColumn(key, F.coalesce(given, own, F.lit(value)) if overrule else F.coalesce(own, given, F.lit(value)))
+    assumed = rows.groupBy("img").agg(F.bool_or(F.col("emission_from") == "default").alias("_assumed"))
+    merged = merged.join(assumed, "img", "left").withColumn("defaulted", F.when(
+        F.coalesce("_assumed", F.lit(False)), F.array_append("defaulted", F.lit("emission_wavelength"))).otherwise(F.col("defaulted"))).drop("_assumed")
+    return merged, rows
+
+
 def metadata_documents(images: DataFrame, channels: DataFrame) -> DataFrame:
-    """Result metadata per image: padded names, known wavelengths, description."""
+    """Result metadata per image: padded names, known wavelengths, description, and the whole as a JSON document.
+
+    The document has the axes, the pixel sizes with their unit, the lists of
+    known values, and under ``Channels`` every channel with its place, so that
+    a gap in the wavelengths does not shift those behind it.
+    """
     rows = align_channels(images.select("img", "n"), channels)
     ordered = F.array_sort(F.collect_list(F.struct("c", "name", "emission", "excitation")))
     lists = rows.groupBy("img").agg(ordered.alias("ch"))
@@ -151,9 +208,21 @@ def metadata_documents(images: DataFrame, channels: DataFrame) -> DataFrame:
     text = F.concat_ws(
         "; ", part("na", "NA"), part("refractive_index", "RI"), part("microscope_type", "Microscope"),
         F.concat(part("magnification", "Magnification"), F.lit("x")), part("immersion", "Immersion"))
+    some = lambda n: F.when(F.size(known(n)) > 0, known(n))
+    depth = F.col("size_z") if "size_z" in images.columns else F.lit(None).cast("int")
+    axes = F.when(depth > 1, F.lit("CZYX")).otherwise(F.lit("CYX"))
+    sizes = []
+    for a in ("x", "y", "z"):
+        size = F.col(f"pixel_size_{a}").cast("double") if f"pixel_size_{a}" in images.columns else F.lit(None).cast("double")
+        sizes += [size.alias(f"PhysicalSize{a.upper()}"), F.when(size.isNotNull(), F.lit("µm")).alias(f"PhysicalSize{a.upper()}Unit")]
     return images.join(lists, "img", "left").select(
         "img", F.transform("ch", lambda s: s["name"]).alias("names"), known("emission").alias("emission"),
         known("excitation").alias("excitation"), text.alias("description"),
         F.to_json(F.struct(
-            F.transform("ch", lambda s: s["name"]).alias("Name"), known("emission").alias("EmissionWavelength"),
-            known("excitation").alias("ExcitationWavelength"), text.alias("Description"))).alias("document"))
+            axes.alias("axes"), *sizes,
+            F.struct(F.transform("ch", lambda s: s["name"]).alias("Name"), some("emission").alias("EmissionWavelength"),
+                     some("excitation").alias("ExcitationWavelength")).alias("Channel"),
+            F.transform("ch", lambda s: F.struct(
+                s["c"].alias("Index"), s["name"].alias("Name"), s["emission"].alias("EmissionWavelength"),
+                s["excitation"].alias("ExcitationWavelength"))).alias("Channels"),
+            text.alias("Description"))).alias("document"))

@@ -199,7 +199,7 @@ def test_preset_wires_kernel_background_damping_and_offset(spark, to_cells, to_a
 
 
 def test_benchmark_reports_each_method(spark, to_cells):
-    df = batch.benchmark_methods(spark, to_cells(a=blurred((6, 6))), K, niter=1, methods=["rl"], track=False, crop=False)
+    df = batch.benchmark_methods(spark, to_cells(a=blurred((6, 6))), K, niter=1, methods=["rl"], track=False)
     row = df.first().asDict()
     assert row["label"] == "rl_1i" and row["channels_compared"] == 1 and row["time_s"] > 0
 

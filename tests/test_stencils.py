@@ -125,3 +125,27 @@ def test_kernel_crop_and_collapse(spark):
         total += w[10 - r] + w[10 + r]
     assert kept == list(range(-r, r + 1))
     assert kn.kernel_collapse_z(k, "strong").agg(F.sum("w")).first()[0] == pytest.approx(1)
+
+
+def test_sparse_hessian_leaves_out_any_axis_of_length_one(to_cells, to_array):
+    a = np.round(np.random.default_rng(8).gamma(1.0, 4.0, (5, 6)), 2)
+    flat = to_cells(a=a)
+    want = sc.sparse_hessian_penalty(flat).first().penalty
+    grad = to_array(sc.sparse_hessian_gradient(flat), "g")[0]
+    assert want > 0 and not np.allclose(grad, 0)
+    for shape in ((5, 1, 6), (5, 6, 1)):
+        stack = to_cells(a=a.reshape(shape))
+        assert np.isclose(sc.sparse_hessian_penalty(stack).first().penalty, want)
+        assert np.allclose(to_array(sc.sparse_hessian_gradient(stack), "g"), grad.reshape(shape))
+
+
+@pytest.mark.parametrize("shape", [(1, 7, 9), (3, 8, 5), (1, 1, 6), (4, 6, 1)])
+def test_high_band_share_is_that_of_the_whole_transform(to_cells, shape):
+    a = np.random.default_rng(9).normal(size=shape)
+    power = np.abs(np.fft.fftn(a)) ** 2
+    freq = np.meshgrid(*[np.fft.fftfreq(n) for n in shape], indexing="ij")
+    top = np.sqrt(sum((n // 2 / n) ** 2 for n in shape))
+    for cut in (0.25, 0.9):
+        want = power[np.sqrt(sum(f * f for f in freq)) > cut * top].sum() / (power.sum() + 1e-12)
+        got = spectral.high_band_share(to_cells(a=a), cut).first().share
+        assert np.isclose(got, want, atol=1e-9)
