@@ -12,34 +12,42 @@ from sparkgrid.llm.tables import partitions, text_of
 #: samples in a fingerprint; the likeness of two is a mean over them
 SAMPLES = 64
 #: samples drawn from one row of a term; more would make code too long to be compiled
-STEP = 8
+STEP = 4
 #: hex digits written per sample
 DIGITS = 4
 SPACES = " \t\n\x0b\f\r"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
-#: quantiles of the Gamma(2, 1) distribution that draws are taken from
-QUANTILES = 4096
+#: equal shares of the Gamma(2, 1) distribution that draws are taken from; the ``TAIL`` outermost ones, which the
+#: smallest values of long texts come from, are cut ``FINE`` times more
+QUANTILES, TAIL, FINE = 4096, 16, 1024
 
 
-def gamma_quantiles() -> np.ndarray:
-    """Values x at which 1 - (1 + x) exp(-x) passes the middle of each of ``QUANTILES`` equal shares."""
-    share = (np.arange(QUANTILES) + 0.5) / QUANTILES
-    low, high = np.zeros(QUANTILES), np.full(QUANTILES, 40.0)
-    for _ in range(60):
-        middle = (low + high) / 2
-        below = 1 - (1 + middle) * np.exp(-middle) < share
+def gamma_quantiles(share: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Values x at which 1 - (1 + x) exp(-x) is ``share`` and (1 + x) exp(-x) is ``rest``, each exact where it is small."""
+    low, high = np.full(len(share), 1e-9), np.full(len(share), 60.0)
+    for _ in range(80):
+        middle = np.sqrt(low * high)
+        small = middle**2 * (1 / 2 - middle * (1 / 3 - middle * (1 / 8 - middle * (1 / 30 - middle / 144))))
+        under = np.where(middle < 0.1, small, 1 - (1 + middle) * np.exp(-middle))
+        below = np.where(share < 0.5, under < share, (1 + middle) * np.exp(-middle) > rest)
         low, high = np.where(below, middle, low), np.where(below, high, middle)
     return high
 
 
+def gamma_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Middles of all shares, of the finer shares at the low end and of those at the high end, from the outside inwards."""
+    coarse, fine = (np.arange(QUANTILES) + 0.5) / QUANTILES, (np.arange(TAIL * FINE) + 0.5) / (QUANTILES * FINE)
+    return gamma_quantiles(coarse, 1 - coarse), gamma_quantiles(fine, 1 - fine), gamma_quantiles(1 - fine, fine)
+
+
 def table(values: np.ndarray) -> Column:
     """A constant array: the optimizer folds the text into one literal."""
     return F.split(F.lit(",".join(f"{v:.12g}" for v in values)), ",").cast("array<double>")
 
 
-def sample(term: Column, draw: Column, log_weight: Column, i: int, gamma: Column, log_gamma: Column) -> Column:
+def sample(term: Column, draw: Column, log_weight: Column, i: int, gamma: list[Column], log_gamma: list[Column]) -> Column:
     """Draw i of a weighted term, packed so that the smallest value of a text is its sample.
 
     With r and c from Gamma(2, 1), b uniform and t = floor(ln w / r + b), the
@@ -49,11 +57,14 @@ def sample(term: Column, draw: Column, log_weight: Column, i: int, gamma: Column
     high 31 bits order the draws, the low 32 name (term, t).
     """
     bits = F.xxhash64(draw.bitwiseXOR(F.lit((i + 1) * 0x1E3779B97F4A7C15 % (1 << 62))))
-    digit = lambda first: F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(QUANTILES - 1).cast("long")).cast("int")
-    r = F.get(gamma, digit(0))
-    b = F.shiftrightunsigned(bits, 24).cast("double") / float(1 << 40)
+    digit = lambda first, size: F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
+    outer, inner = digit(0, QUANTILES), digit(12, QUANTILES)
+    # a large r and a small c make small values: those ends are drawn finely
+    r = F.when(outer >= TAIL, F.get(gamma[0], QUANTILES - 1 - outer)).otherwise(F.get(gamma[1], outer * FINE + digit(30, FINE)))
+    log_c = F.when(inner >= TAIL, F.get(log_gamma[0], inner)).otherwise(F.get(log_gamma[1], inner * FINE + digit(24, FINE)))
+    b = F.shiftrightunsigned(bits, 40).cast("double") / float(1 << 24)
     t = F.floor(log_weight / r + b)
-    order = F.get(log_gamma, digit(12)) - r * (t - b) - r
+    order = log_c - r * (t - b) - r
     name = term.bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << 32) - 1))
     return F.shiftleft(((order + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(name)
 
@@ -71,8 +82,8 @@ def fingerprint_texts(texts: DataFrame, keys: list[str], text: str) -> DataFrame
     steps = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // STEP - 1)))
     weighted = counted.select(*keys, "_term", F.log(F.col("_n").cast("double")).alias("_w"), steps.alias("_step"))
     weighted = weighted.withColumn("_draw", F.xxhash64("_term", "_step"))
-    gamma = gamma_quantiles()
-    tables = table(gamma), table(np.log(gamma))
+    middle, small, large = gamma_tables()
+    tables = [table(middle), table(large)], [table(np.log(middle)), table(np.log(small))]
     sampled = weighted.groupBy(*keys, "_step").agg(
         *[F.min(sample(F.col("_term"), F.col("_draw"), F.col("_w"), i, *tables)).alias(f"_{i}") for i in range(STEP)]
     )

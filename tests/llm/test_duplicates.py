@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -142,6 +143,38 @@ def test_collision_rate_is_generalised_jaccard(make_docs, shared):
     assert abs(fingerprints.fingerprint_documents(docs).filter("doc_id = 1").first().near_next - want) < 0.2
 
 
+def test_collision_rate_of_long_texts(spark):
+    """100,000 terms of weight 1 or 8, swapped in the other text: generalised Jaccard 1/8, over six pairs of texts."""
+    times = lambda i: F.when((i + F.col("side")) % 2 == 0, 8).otherwise(1)
+    word = lambda i: F.concat_ws("_", F.col("pair").cast("string"), i.cast("string"))
+    words = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.array_repeat(word(i), times(i))))
+    texts = spark.range(12).select((F.col("id") / 2).cast("int").alias("pair"), (F.col("id") % 2).cast("int").alias("side"))
+    texts = texts.repartition(12, "pair", "side").withColumn("text", F.array_join(words, " "))
+    prints = fingerprints.fingerprint_texts(texts, ["pair", "side"], "text")
+    both = prints.groupBy("pair").pivot("side", [0, 1]).agg(F.first("fingerprint"))
+    rate = both.agg(F.avg(fingerprints.likeness(F.col("0"), F.col("1")))).first()[0]
+    assert abs(rate - 0.125) <= 3 * (0.125 * 0.875 / (6 * fingerprints.SAMPLES)) ** 0.5
+
+
+def test_draws_follow_the_gamma_distribution():
+    middle, small, large = fingerprints.gamma_tables()
+    below = lambda x: 1 - (1 + x) * np.exp(-x)
+    assert np.allclose(below(middle), (np.arange(len(middle)) + 0.5) / len(middle))
+    n = fingerprints.QUANTILES * fingerprints.FINE
+    assert np.allclose(small[:50] ** 2 / 2 * (1 - 2 * small[:50] / 3), (np.arange(50) + 0.5) / n, rtol=1e-5)
+    assert np.allclose((1 + large) * np.exp(-large), (np.arange(len(large)) + 0.5) / n, rtol=1e-6)
+    assert np.all(np.diff(small) > 0) and np.all(np.diff(large) < 0)
+
+
+def test_edited_texts_take_from_the_next_document(spark, corpus):
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    texts = [t or "" for t in corpus.text]
+    for doc_id, text, after in zip(corpus.doc_id, texts, [*texts[1:], texts[0]], strict=True):
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        assert got[doc_id].n_chars == len(text) and got[doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def texts_of_units(text):
     data, spans, _, _ = paragraphs.Splitter()(text)
     return [data[a:b].decode() for a, b in spans[:, :2].tolist()]
