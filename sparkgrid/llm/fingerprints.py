@@ -21,7 +21,7 @@ SEPARATOR = r"[\x20\x09-\x0D]+"
 
 #: equal shares of the Gamma(2, 1) distribution that draws are taken from; the ``TAIL`` outermost ones, which the
 #: smallest values of long texts come from, are cut ``FINE`` times more
-QUANTILES, TAIL, FINE = 4096, 16, 1024
+QUANTILES, TAIL, FINE = 4096, 16, 256
 
 
 def gamma_quantiles(share: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def sample(term: Column, draw: Column, log_weight: Column, i: int, gamma: list[C
     digit = lambda first, size: F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
     outer, inner = digit(0, QUANTILES), digit(12, QUANTILES)
     # a large r and a small c make small values: those ends are drawn finely
-    r = F.when(outer >= TAIL, F.get(gamma[0], QUANTILES - 1 - outer)).otherwise(F.get(gamma[1], outer * FINE + digit(30, FINE)))
+    r = F.when(outer >= TAIL, F.get(gamma[0], QUANTILES - 1 - outer)).otherwise(F.get(gamma[1], outer * FINE + digit(32, FINE)))
     log_c = F.when(inner >= TAIL, F.get(log_gamma[0], inner)).otherwise(F.get(log_gamma[1], inner * FINE + digit(24, FINE)))
     b = F.shiftrightunsigned(bits, 40).cast("double") / float(1 << 24)
     t = F.floor(log_weight / r + b)
