@@ -87,8 +87,9 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: every step points nodes at
     the smallest neighbour seen, until only stars are left.  Each step is one
     aggregate with a map-side combine and one join, written to the shared
-    folder; the tables of earlier steps are removed.  A node linked only to
-    itself, and an empty table, give no rows.
+    folder; the tables of earlier steps are removed.  The centre of a large
+    star is a hot key, so the aggregate is attached and its side can be split.
+    A node linked only to itself, and an empty table, give no rows.
     """
     spark = links.sparkSession
     edges, path = write_aside(
@@ -98,14 +99,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least, least_path = write_aside(least)
+        large = attach(both.filter("v > u"), least, ["u"], settled=True).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large, large_path = write_aside(large)
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi")
+        down, down_path = write_aside(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        small = attach(large, down, ["hi"], settled=True)
         small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", "m")).filter("hi <> lo").distinct()
         new, new_path = write_aside(small)
-        discard(spark, large_path)
-        discard(spark, path)
+        for gone in (least_path, large_path, down_path, path):
+            discard(spark, gone)
         edges, path = new, new_path
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:

@@ -75,11 +75,20 @@ def shard_documents(docs: DataFrame, weights: dict[int, float], grown: dict[int,
     return number_rows(rows, "shard")
 
 
-def write_shards(docs: DataFrame, weights: dict[int, float], path: str, files: int = 64) -> None:
-    """Write whole rows as Parquet below ``path``, one folder a shard.
+def write_shards(docs: DataFrame, weights: dict[int, float], path: str, files: int = 64) -> str:
+    """Write whole rows as Parquet below ``path``, one folder a shard, and return the name of the folders' column.
 
     A shard is written by up to ``files`` tasks, so none holds a whole shard.
+    The column is ``shard``, with underscores behind it while the table has a
+    column of that name.  Rows without doc_id are keyed by the checksum of their
+    text, a null text being empty; repeated rows are all written; an empty
+    table writes no folder.
     """
     key = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.crc32(text_of(docs)).cast("string")))
-    placed = docs.withColumn("shard", rendezvous(key, weights))
-    placed.repartition("shard", F.pmod(F.xxhash64(key), F.lit(files))).write.partitionBy("shard").parquet(path)
+    taken, name = {c.lower() for c in docs.columns}, "shard"
+    while name in taken:
+        name += "_"
+    placed = docs.select(*[docs[f"`{c}`"] for c in docs.columns], rendezvous(key, weights).alias(name))
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    placed.repartition(name, part).write.partitionBy(name).parquet(path)
+    return name

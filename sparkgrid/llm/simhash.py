@@ -105,9 +105,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = values.select("fp", F.explode(keys).alias("key"))
     links = map_runs(cells_of(buckets, "key", "fp"), ["key", "cell"], link_runs, "a long, b long")
     roots = components(links)
-    rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = settle(values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
+    named = attach(rooted, first, ["root"]).select("fp", "component_id")
     return attach(rows, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
@@ -115,12 +115,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest doc_id.
 
     Rows that repeat a doc_id are one document, of which the row with the
-    smallest text stays.  Rows without doc_id all stay.
+    smallest text stays, a null text being empty.  Rows without doc_id all
+    stay; an empty table gives none.  Other columns are kept, whatever their
+    names.
     """
     members = settle(near_duplicates(docs))
-    kept = members.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    found = docs.join(kept, "doc_id")
-    again = found.filter("_rows > 1").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", docs["text"])
-    again = again.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    once = found.filter("_rows = 1").select(*[docs[f"`{c}`"] for c in docs.columns])
-    return once.unionByName(again).unionByName(docs.filter(docs["doc_id"].isNull()))
+    kept = members.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    packed = docs.select(docs["doc_id"].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    found = packed.join(kept, "id")
+    again = found.filter("n > 1").groupBy("id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    once = found.filter("n = 1").select("row.*")
+    return once.unionByName(again.select("row.*")).unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -1,8 +1,9 @@
 import pytest
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, row string, key int, spans int, "
-          "score string, slot int, cell int, fp int, kind string, ids string, mix_lang string, part string")
-CLASH = ("r", 1, 2, "s", 3, 4, 5, "k", "i", "m", "p")
+          "score string, slot int, cell int, fp int, kind string, ids string, mix_lang string, part string, "
+          "_rows string, n int, id int, shard string, _part string, _copies string")
+CLASH = ("r", 1, 2, "s", 3, 4, 5, "k", "i", "m", "p", "rows", 6, 7, "sh", "pt", "cp")
 
 
 def row(doc_id, text, lang="en", source="src1"):

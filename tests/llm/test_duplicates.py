@@ -63,6 +63,19 @@ def test_keep_first(make_docs, edges):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", "A B C D E"), ("9", "one more with id nine"), ("None", "a b c d e")]
+    found = simhash.keep_first(edges).collect()
+    stay = {r.component_id for r in simhash.near_duplicates(edges).collect()}
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == sorted(stay - {None})
+    assert sum(r.doc_id is None for r in found) == 2
+    assert all(r["_rows"] == "rows" and r["id"] == 7 and r["n"] == 6 for r in found)
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    star = spark.range(1, 3000).selectExpr("0L AS a", "id AS b")
+    chain = spark.range(5000, 5060).selectExpr("id AS a", "id + 1 AS b")
+    got = {r.node: r.root for r in groups.components(star.union(chain)).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5061)}
+    assert groups.components(star.limit(0)).count() == 0
 
 
 def test_hot_buckets_are_compared_whole(spark):

@@ -35,9 +35,13 @@ def test_many_equal_rows_get_slots_of_their_own(spark):
 
 def test_shards_of_nothing_and_written_shards(nothing, edges, tmp_path):
     assert shards.shard_documents(nothing, EIGHT).count() == 0
-    shards.write_shards(edges, EIGHT, str(tmp_path / "out"))
+    name = shards.write_shards(edges, EIGHT, str(tmp_path / "out"))
     back = edges.sparkSession.read.parquet(str(tmp_path / "out"))
-    assert back.count() == edges.count() and set(edges.columns) <= set(back.columns)
+    assert name == "shard_" and set(back.columns) == {*edges.columns, name}
+    assert sorted(map(str, back.select(edges.columns).collect())) == sorted(map(str, edges.collect()))
+    want = {(r.doc_id, r.shard) for r in shards.shard_documents(edges, EIGHT).collect()}
+    assert {(r.doc_id, r[name]) for r in back.select("doc_id", name).collect()} == want
+    assert shards.write_shards(edges.select("doc_id", "text"), EIGHT, str(tmp_path / "plain")) == "shard"
 
 
 def test_shortages_go_to_siblings_before_ancestors(spark):
