@@ -7,7 +7,7 @@ from sparkgrid.catalog import query
 from sparkgrid.catalog.kernels import K35
 from sparkgrid.catalog.restoration import rl_sql, taps_block
 from sparkgrid.catalog.sources import shared_folder
-from sparkgrid.core import rnd
+from sparkgrid.core import extents, rnd, settle
 from sparkgrid.fixtures import with_sql
 from sparkgrid.streaming import restoration as sr, telemetry as tm
 
@@ -47,8 +47,10 @@ def _t3(spark, sf):
     return _drain(spark, lambda o, c: tm.replace_at(tm.running_levels(_stream(spark, sf), 400.0), o, c))
 
 
-@query("t4_restore_stream", rl_sql("cells_ti", K35, 2) + """
-SELECT img, c, z, y, x, round(greatest(xc - 5, 0), 6) AS v FROM s2 WHERE d IS NOT NULL""")
+T4 = rl_sql("cells_ti", K35, 2) + " SELECT img, c, z, y, x, round(greatest(xc - 5, 0), 6) AS v FROM s2 WHERE d IS NOT NULL"
+
+
+@query("t4_restore_stream", T4)
 def _t4(spark, sf):
     src = shared_folder(spark)
     frames = fx.cells_t(spark, sf)
@@ -56,3 +58,16 @@ def _t4(spark, sf):
     live = spark.readStream.schema(frames.schema).parquet(src)
     r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, niter=2))
     return r.select(F.concat_ws("#", "img", F.col("t").cast("string")).alias("img"), "c", "z", "y", "x", rnd("v").alias("v"))
+
+
+@query("t4_restore_pieces", T4)
+def _t4_pieces(spark, sf):
+    """Every channel comes in pieces over three triggers and is solved once it is whole."""
+    src = shared_folder(spark)
+    frames = fx.cells_t(spark, sf)
+    sizes = settle(extents(frames, ["img", "t"]))
+    for piece in range(3):
+        frames.filter((F.col("y") + F.col("x")) % 3 == piece).coalesce(1).write.mode("append").parquet(src)
+    live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, sizes, niter=2))
+    return r.select(F.concat_ws("#", "img", F.col("t").cast("string")).alias("img"), "c", "z", "y", "x", rnd("v").alias("v"))

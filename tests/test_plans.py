@@ -107,6 +107,37 @@ def test_stream_results_survive_a_rerun(spark, to_cells, tmp_path):
     assert spark.read.parquet(out).count() == 36
 
 
+def test_channels_that_come_in_pieces_are_held(spark, to_cells, tmp_path):
+    from sparkgrid.catalog.restoration import taps_block
+    from sparkgrid.streaming.restoration import held_cells, restore_stream
+
+    rng = np.random.default_rng(1)
+    cells = to_cells(a=rng.random((6, 7)) * 50 + 5, b=rng.random((6, 7)) * 50 + 5)
+    sizes = spark.createDataFrame([("a", 1, 6, 7), ("b", 1, 6, 7)], "img string, nz int, ny int, nx int")
+    src, out, run = (str(tmp_path / n) for n in ("src", "out", "run"))
+
+    def deliver(rows):
+        rows.coalesce(1).write.mode("append").parquet(src)
+        live = spark.readStream.schema(cells.schema).parquet(src)
+        restore_stream(live, taps_block(K35), out, run, sizes, niter=1).awaitTermination()
+
+    deliver(cells.filter("y < 3"))
+    assert held_cells(spark, run, 0).count() == 42 and not (tmp_path / "out").exists()
+    wrong = cells.filter("img = 'a' AND y = 2").withColumn("v", cells["v"] + 1)  # comes again with the rest, then right
+    deliver(wrong.unionByName(cells.filter("img = 'a' AND y = 2").withColumn("y", cells["y"] + 50)))  # outside the size
+    deliver(cells.filter("img = 'a' AND y >= 2"))
+    assert {r.img for r in spark.read.parquet(out).select("img").distinct().collect()} == {"a"}
+    assert {r.img for r in held_cells(spark, run, 2).collect()} == {"b"}
+    deliver(cells.filter("img = 'b' AND y >= 3"))
+    assert held_cells(spark, run, 3).count() == 0 and not (tmp_path / "run-held" / "1").exists()
+    whole = str(tmp_path / "whole")
+    cells.write.parquet(str(tmp_path / "once"))
+    live = spark.readStream.schema(cells.schema).parquet(str(tmp_path / "once"))
+    restore_stream(live, taps_block(K35), whole, str(tmp_path / "run2"), niter=1).awaitTermination()
+    both = [sorted(tuple(r) for r in spark.read.parquet(p).select("img", "y", "x", "v").collect()) for p in (out, whole)]
+    assert len(both[0]) == 84 and np.allclose([r[3] for r in both[0]], [r[3] for r in both[1]])
+
+
 def test_dense_code_loads_without_this_package(tmp_path):
     """Executors that do not have the package installed can still run tiles."""
     import subprocess
