@@ -150,6 +150,35 @@ def _p10(spark, sf):
     return color.classify_channels(d.unionByName(rgb))
 
 
+@query("p9_explicit_colors", with_sql("channels") + f""",
+a AS (SELECT img, c, n, {RGB('emission')} FROM channels)
+SELECT img, c, CASE WHEN c = 0 THEN n % 200 WHEN r + g + b = 765 THEN [0, 255, 0, 255, 0, 255][c % 6 + 1] ELSE r END::INT AS r,
+  CASE WHEN c = 0 THEN 7 WHEN r + g + b = 765 THEN [255, 0, 255, 0, 0, 255][c % 6 + 1] ELSE g END::INT AS g,
+  CASE WHEN c = 0 THEN 9 WHEN r + g + b = 765 THEN [0, 255, 255, 0, 255, 0][c % 6 + 1] ELSE b END::INT AS b FROM a""")
+def _p9c(spark, sf):
+    """Channel 0 has a colour of its own, channel 2 is white, which says nothing, channel 3 lacks a part, the others have none."""
+    color_of = lambda r, g, b: F.struct(r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"))
+    given = F.when(F.col("c") == 0, color_of(F.col("n") % 200, F.lit(7), F.lit(9))).when(
+        F.col("c") == 2, color_of(*[F.lit(255)] * 3)).when(F.col("c") == 3, color_of(F.lit(1), F.lit(None), F.lit(2)))
+    return color.resolve_colors(fx.channels(spark, sf).withColumn("color", given))
+
+
+@query("p10_rgb_by_colors", """
+SELECT 'c' || c_nationkey AS img, CASE WHEN c_nationkey % 3 = 0 THEN 'rgb' WHEN c_nationkey % 3 = 1 THEN 'other' ELSE 'fluorescence' END AS kind
+FROM customer GROUP BY c_nationkey""")
+def _p10b(spark, sf):
+    """The colours of RGB channels in any order; one of them replaced; all of them, but four channels with a wavelength."""
+    nations = fx.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")).distinct()
+    shown = [color.RGB_CHANNELS[i] for i in (2, 0, 1)]
+    colors = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("rgb", c)]) for c in shown])
+    other = F.array(F.struct(*[F.lit(v).alias(k) for k, v in zip("rgb", (1, 2, 3))]))
+    given = F.when(F.col("n") % 3 == 0, colors).when(F.col("n") % 3 == 1, F.concat(F.slice(colors, 1, 2), other)).otherwise(F.concat(colors, other))
+    rows = nations.select("n", F.posexplode(given).alias("c", "color"))
+    return color.classify_channels(rows.select(
+        F.concat(F.lit("c"), "n").alias("img"), "c", F.lit("layer").alias("name"), "color",
+        F.when(F.col("n") % 3 == 2, F.lit(520.0)).alias("emission")))
+
+
 @query("p11_kernel_size", """
 SELECT p_partkey, CASE WHEN n % 2 = 0 THEN n + 1 ELSE n END::BIGINT AS size FROM (SELECT p_partkey,
   greatest(2 * floor(4.0 * 0.61 * (400 + p_size * 6) / (0.2 + p_size / 50.0) / (p_retailprice / 20)) + 1, 64) AS n FROM part)""")
