@@ -151,3 +151,26 @@ def test_dense_code_loads_without_this_package(tmp_path):
     f.write_bytes(cloudpickle.dumps((dense.solve, dense.Job, dense.advance)))
     code = f"import pickle, pyspark.cloudpickle; pickle.load(open({str(f)!r}, 'rb'))"
     subprocess.run([sys.executable, "-c", code], cwd="/", check=True, env={"PATH": "/usr/bin"})
+
+
+def test_cells_in_small_files_are_not_broadcast(spark):
+    """A cell table of a few hundred kilobytes of files has many megabytes of rows."""
+    from sparkgrid.core import attach, held_bytes, planned_bytes, settle
+    from sparkgrid.plans import keyed
+
+    cells = settle(spark.range(60 * 1024).select(
+        F.concat(F.lit("u"), F.floor(F.col("id") / 1024)).alias("img"), F.lit(0).alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"),
+        (F.floor(F.col("id") / 32) % 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"), F.lit(1.0).alias("v")))
+    groups = cells.select("img", "t", "c").distinct().select("*", *[F.lit(n).alias(k) for k, n in (
+        ("nz", 1), ("ny", 32), ("nx", 32), ("hiz", 0), ("hiy", 1), ("hix", 2), ("loz", 0), ("loy", -1), ("lox", -2))],
+        F.lit(1.0).alias("mean"), F.lit(1.0).alias("bg"))
+    written = []
+    keep, keyed.settle = keyed.settle, lambda df: written.append(df) or df
+    try:
+        keyed.start(cells, groups, rs.Options())
+    finally:
+        keyed.settle = keep
+    assert "BroadcastHashJoin" not in body(written[-1])
+    assert planned_bytes(cells) < 1 << 20 < 4 << 20 < held_bytes(cells)
+    limit = planned_bytes(cells)  # as many bytes of files are allowed, but not of rows
+    assert "BroadcastHashJoin" not in body(attach(cells, cells.withColumnRenamed("v", "w"), ["img", "t", "c", "z", "y", "x"], limit=limit))
