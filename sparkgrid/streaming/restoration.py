@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkgrid.core import AXES, CELL, KEYS, attach, discard, write_aside
 from sparkgrid.plans.tiled import restore_tiled
+from sparkgrid.sources.cells import gathered
 
 HELD = "img string, t int, c int, z int, y int, x int, v double, trigger long"
 
@@ -51,7 +52,7 @@ def restore_stream(
     """
     def solve(cells: DataFrame) -> None:
         out = restore_tiled(cells, kernel, **options).cells
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t", "img", "c").parquet(path)
+        gathered(out, ["t", "img", "c"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t", "img", "c").parquet(path)
 
     def put(batch: DataFrame, _: int) -> None:
         cells, path_of_batch = write_aside(batch.select(*CELL, "v"))

@@ -174,3 +174,20 @@ def test_cells_in_small_files_are_not_broadcast(spark):
     assert planned_bytes(cells) < 1 << 20 < 4 << 20 < held_bytes(cells)
     limit = planned_bytes(cells)  # as many bytes of files are allowed, but not of rows
     assert "BroadcastHashJoin" not in body(attach(cells, cells.withColumnRenamed("v", "w"), ["img", "t", "c", "z", "y", "x"], limit=limit))
+
+
+def test_a_streamed_channel_is_one_file(spark, to_cells, tmp_path):
+    """The blend leaves a channel's cells in all tasks; each wrote a file of its own for every channel."""
+    from sparkgrid.catalog.restoration import taps_block
+    from sparkgrid.streaming.restoration import restore_stream
+
+    cells = to_cells(**{f"i{k}": np.ones((6, 6)) for k in range(12)})
+    src, out = str(tmp_path / "src"), tmp_path / "out"
+    cells.write.parquet(src)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        live = spark.readStream.schema(cells.schema).parquet(src)
+        restore_stream(live, taps_block(K35), str(out), str(tmp_path / "run"), niter=1).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(out.rglob("*.parquet"))) == 12 and spark.read.parquet(str(out)).count() == 12 * 36
