@@ -125,3 +125,11 @@ def test_no_window_sees_a_whole_bucket_of_an_offset_signal(spark):
     assert buckets.groupBy("f").count().agg(F.max("count")).first()[0] < 1000
     got = rank.percentiles(rows, {"p": 25.0}).first()
     assert abs(got.p - (300 + 0.25 * 199_999 / 1e6)) < 1e-9
+
+
+def test_kernel_size_at_whole_radii(spark):
+    """Four Airy radii of exactly 1,403 pixels; 2.44 as a double gave 1,402."""
+    from sparkgrid.functions.scalar import kernel_size
+
+    rows = spark.createDataFrame([(460, 0.4, 2.0), (460, 0.4, 46.76), (520, 1.4, 65.0)], "nm int, na double, px double")
+    assert [r[0] for r in rows.select(kernel_size(F.col("nm"), F.col("na"), F.col("px"))).collect()] == [2807, 121, 65]
