@@ -109,3 +109,26 @@ def test_routes(spark, to_cells, table):
     n = {x.img: x["count"] for x in r.cells.groupBy("img").count().collect()}
     assert n == {"large": 240, "flat": 36, "stack": 144, "tiny": 4}
     assert {u.img for u in r.used.collect()} == set(n)
+
+
+def test_large_tiles_run_in_blocks(spark, to_cells, monkeypatch):
+    """Tiles above the limit give the cells, iterations and metrics of whole tiles."""
+    from sparkgrid.plans import tiled as td
+
+    rng = np.random.default_rng(3)
+    cells = to_cells(a=rng.random((40, 30)) * 50 + 5)
+    grid = spark.createDataFrame([("a", 40, 30, 2, 2)], "img string, h int, w int, ny int, nx int")
+    kernel = np.zeros((1, 3, 5))
+    kernel[0, :, :4] = rng.random((3, 4))
+    run = lambda: td.restore_tiled(cells, kernel, grid, margin=4, niter=12, damping="auto", dense_block=16, track=False)
+    whole = run()
+    groups = []
+    monkeypatch.setattr(td, "MAX_TILE", 100)
+    monkeypatch.setattr(td.dense, "solve", lambda *_: groups.append(1))
+    blocks = run()
+    for part, order in (("cells", ["y", "x"]), ("history", ["iy", "ix"]), ("used", ["img"])):
+        a, b = (getattr(r, part).orderBy(*order).toPandas() for r in (whole, blocks))
+        assert list(a) == list(b) and len(a) == len(b)
+        n = a.select_dtypes("number").columns
+        assert np.allclose(a[n], b[n], rtol=1e-6)
+    assert not groups
