@@ -132,3 +132,13 @@ def test_large_tiles_run_in_blocks(spark, to_cells, monkeypatch):
         n = a.select_dtypes("number").columns
         assert np.allclose(a[n], b[n], rtol=1e-6)
     assert not groups
+
+
+def test_an_image_about_as_large_as_a_block_is_one(to_cells, table, monkeypatch):
+    """The work box of 24 x 30 cells is 26 x 34: one block of about 32 a side, four when cut at multiples of 32."""
+    from sparkgrid.catalog.kernels import K35
+
+    seen, steps = [], keyed.keyed_steps
+    monkeypatch.setattr(keyed, "keyed_steps", lambda state, blocks, *rest: seen.append(blocks.count()) or steps(state, blocks, *rest))
+    keyed.restore_each(to_cells(a=blurred((24, 30))), table(K35), [], niter=1, dense_block=32)
+    assert seen == [1]
