@@ -213,3 +213,28 @@ def test_sparse_updates_leave_no_copies_behind(to_cells, monkeypatch):
     cells = to_cells(i=np.random.default_rng(2).poisson(9, (5, 7)).astype(float))
     out = rs.sparse_hessian_deconvolve(cells, K35, volume=False, niter=2, track=False, checkpoint_every=1)
     assert out.cells.count() == 35 and len(written) == 6 and len(removed) == 4
+
+
+def test_short_runs_are_dense_blocks(to_cells, monkeypatch):
+    """Fewer updates than a check apart: one exchange for all of them, the cells of the column plan."""
+    legs = []
+    steps = rs.block_steps
+    monkeypatch.setattr(rs, "block_steps", lambda *a: legs.append(a[2]) or steps(*a))
+    cells = to_cells(a=blurred((20, 70)), b=blurred((4, 6, 5)))
+    run = lambda **o: rs.richardson_lucy(cells, K3, niter=3, track=False, **o).cells.orderBy("img", "z", "y", "x").toPandas()
+    blocks, columns = run(dense_block=16), run(engine="columns")
+    assert legs == [3] and len(blocks) == len(columns) and np.allclose(blocks["v"], columns["v"])
+
+
+@pytest.mark.parametrize("method,own", [("rl_tv", {"tv_lambda": 0.05}), ("sparse_hessian", {"weight": 0.6, "reg": 0.9})])
+def test_small_images_are_solved_whole(to_cells, monkeypatch, method, own):
+    """Images up to a block in one task, larger ones by columns: the cells are those of columns alone."""
+    from sparkgrid.plans import batch, tiled
+
+    solved = []
+    whole = tiled.restore_tiled
+    monkeypatch.setattr(tiled, "restore_tiled", lambda *a, **o: solved.append(1) or whole(*a, **o))
+    cells = to_cells(a=blurred((9, 11)), b=blurred((20, 23), 2), d=blurred((3, 6, 5), 3))
+    run = lambda **o: batch.restore_dispatch(cells, K3, method, niter=3, track=False, **own, **o).cells.orderBy("img", "z", "y", "x").toPandas()
+    some, none = run(dense_block=10), run(engine="columns")
+    assert solved == [1] and len(some) == len(none) and np.allclose(some["v"], none["v"])
