@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrid.core import CELL, attach, settle
+from sparkgrid.core import CELL, TASK_ROWS, attach, beside, dealt, is_small, reusable, settle, tasks_for
 
 
 def with_channel_meta(cells: DataFrame, channels: DataFrame) -> DataFrame:
@@ -57,19 +57,49 @@ def dictionary_encode(
     Codes number the distinct values in order within each group of ``keys``.
     The values are range-partitioned and numbered per partition; the small
     table of partition sizes gives the starting code, so no group is sorted in
-    one task even without keys.
+    one task even without keys.  Rows are counted and tasks get a bounded share
+    of them at every step.
     """
     keys = list(keys)
-    distinct = df.select(*keys, col).distinct()
-    placed = settle(distinct.repartitionByRange(*keys, col).withColumn("_part", F.spark_partition_id()))
+    df = reusable(df)
+    rows = df.count()
+    # equal rows of a task are combined before they move, so a frequent value stays small
+    apart = [c for c in df.columns if c not in (*keys, col)] or df.columns
+    counted = dealt(df, rows, *apart).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_rows"))
+    ranges = counted.repartitionByRange(tasks_for(df.sparkSession, rows), *keys, col)
+    placed = settle(ranges.withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(col)) - 1
-    coded = attach(placed.withColumn("_local", local), starts, [*keys, "_part"]).select(
-        *keys, col, (F.col("_start") + F.col("_local")).cast("long").alias("code"), expr(F.col(col)).alias(out))
-    # a frequent value must not pull its rows into one task, so no plain join
-    return attach(df, coded, [*keys, col])
+    numbered = dealt(placed, rows, *keys, "_part").withColumn("_local", local)
+    coded = settle(attach(numbered, starts, [*keys, "_part"]).select(
+        *keys, col, (F.col("_start") + F.col("_local")).cast("long").alias("code"), expr(F.col(col)).alias(out), "_rows"))
+    if is_small(coded):
+        return attach(df, coded.drop("_rows"), [*keys, col], settled=True)
+    return _attach_codes(df, coded, keys, col, apart, rows)
+
+
+def _attach_codes(
+    df: DataFrame, coded: DataFrame, keys: list[str], col: str, apart: Sequence[str], rows: int
+) -> DataFrame:
+    """Meet a large table of codes, no more than about ``TASK_ROWS`` rows of a value in a task.
+
+    The code of a frequent value is copied once a share of its rows; there are
+    at most ``rows / TASK_ROWS`` such values.  Values meet by their hash and are then
+    compared, as Spark moves rows again that meet on a float.
+    """
+    on = [*keys, col]
+    copies = F.ceil(F.col("_rows") / TASK_ROWS).cast("int")
+    frequent = settle(coded.filter(F.col("_rows") > TASK_ROWS).select(*on, copies.alias("_copies")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*apart), F.col("_copies")), F.lit(0)).cast("int").alias("_salt")
+    salted = df.join(F.broadcast(frequent), on, "left").select(*df.columns, salt)
+    copied = coded.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_rows")
+    by = [*keys, "_hash", "_salt"]
+    place = lambda d: dealt(d.withColumn("_hash", F.xxhash64(col)), rows, *by)
+    met = beside(place(salted), place(copied).withColumnRenamed(col, "_value"), by)
+    same = (F.col(col) >= F.col("_value")) & (F.col(col) <= F.col("_value"))
+    return met.filter(same).drop("_hash", "_salt", "_value")
 
 
 def comparison_matrix(results: DataFrame, by: Sequence[str] = ("img",)) -> DataFrame:
