@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkgrid import core, fixtures as fx
 from sparkgrid.operators import relate
-from sparkgrid.sources.cells import densify
+from sparkgrid.sources.cells import densify, read_cells, write_cells
 from tests.conftest import SCHEMA
 from tests.test_plans import SF, body
 
@@ -51,3 +51,29 @@ def test_codes_of_frequent_values_are_dealt(spark, monkeypatch):
     assert all(r.code == (3 if np.isnan(r.v) else want[r.v]) for r in found)
     biggest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert biggest < 1000
+
+
+def test_images_share_files_and_are_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    rows = lambda names, t, v: spark.createDataFrame(
+        [(n, t, c, 0, y, 0, v) for n in names for c in (0, 1) for y in range(2)], SCHEMA)
+    names = [f"{i:03d}" for i in range(40)]
+    read = lambda: sorted(tuple(r) for r in read_cells(spark, path).select("img", "t", "c", "y", "v").collect())
+    want = lambda v: sorted((n, t, c, y, v[n, t]) for n, t in v for c in (0, 1) for y in range(2))
+    state = {(n, t): 1.0 for n in names for t in (0, 1)}
+    write_cells(rows(names, 0, 1.0).unionByName(rows(names, 1, 1.0)), path)
+    folders = lambda: {p.parent for p in (tmp_path / "cells").rglob("*.parquet")}
+    assert read() == want(state) and len(folders()) == 4
+    before = {p for p in (tmp_path / "cells").rglob("t=1/**/*.parquet")}
+    write_cells(rows(["003", "007", "new"], 0, 2.0), path)  # two come again, one is new
+    state |= {(n, 0): 2.0 for n in ("003", "007", "new")}
+    assert read() == want(state) and len(folders()) == 6
+    assert before == {p for p in (tmp_path / "cells").rglob("t=1/**/*.parquet")}
+    write_cells(rows(["new", "003"], 0, 3.0), path)  # from two runs
+    state |= {(n, 0): 3.0 for n in ("003", "new")}
+    assert read() == want(state) and len(folders()) == 6
+    # a channel without a time point is one of its own
+    for v in (4.0, 5.0):
+        write_cells(rows(["003"], 0, v).withColumn("t", F.lit(None).cast("int")), path)
+    assert [r.v for r in read_cells(spark, path).filter("t IS NULL").collect()] == [5.0] * 4
+    assert spark.read.parquet(path).filter("t = 0").count() == 41 * 4
