@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkgrid import core, fixtures as fx
-from sparkgrid.operators import relate
+from sparkgrid.operators import relate, shape
 from sparkgrid.sources.cells import densify, read_cells, write_cells
 from tests.conftest import SCHEMA
 from tests.test_plans import SF, body
@@ -77,3 +77,14 @@ def test_images_share_files_and_are_replaced_alone(spark, tmp_path):
         write_cells(rows(["003"], 0, v).withColumn("t", F.lit(None).cast("int")), path)
     assert [r.v for r in read_cells(spark, path).filter("t IS NULL").collect()] == [5.0] * 4
     assert spark.read.parquet(path).filter("t = 0").count() == 41 * 4
+
+
+def test_block_means_start_from_dealt_rows(spark, monkeypatch):
+    monkeypatch.setattr(core, "TASK_ROWS", 500)
+    means = shape.block_mean(fx.cells_li(spark, SF), 4)
+    text = body(means)
+    assert text.rindex("Exchange hashpartitioning") > text.rindex("HashAggregate")
+    assert max(dealt_to(means)) > 10
+    cells = fx.table(spark, SF, "lineitem").groupBy("l_suppkey", "l_shipdate").count().count()
+    assert fx.cells_li(spark, SF).count() == cells
+    assert means.select("y", "x").distinct().count() == means.count()
