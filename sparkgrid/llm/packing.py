@@ -47,8 +47,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, limit: int, end_id: int) -> D
         seen = [0] * (limit + 1)
         for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                packed = coder.encode(text) + end
+            encoded = coder.encode_all(batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                packed = ids + end
                 size = len(packed) // 4
                 piece, at, length = 0, 0, size % limit or limit
                 while at < size:

@@ -18,6 +18,8 @@ from sparkgrid.core import ensure_checkpoint_dir, settle
 from sparkgrid.llm.tables import partitions, text_of
 from sparkgrid.llm.tokenize import encoder
 
+#: documents that a task encodes at a time
+FEW = 500
 MANIFEST = "part int, id_bytes int, docs long, nulls long, tokens long"
 
 
@@ -65,9 +67,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         end = b"" if end_id is None else np.array([end_id], dtype=width).tobytes()
         ids, sizes = [], []
         with fs.open_output_stream(f"{name}.tokens{own}") as out:
-            for batch in batches:
-                for text in batch.column("text"):
-                    packed = coder.encode(text.as_py()) + end
+            for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
+                for encoded in coder.encode_all(batch.column("text").to_pylist()):
+                    packed = encoded + end
                     out.write(packed)
                     sizes.append(len(packed) // width.itemsize)
                 ids.append(batch.column("doc_id"))

@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from sparkgrid.llm import bpe, queries, tokenfiles
-from sparkgrid.llm.tokenize import Words
+from sparkgrid.llm import bpe, queries, tokenfiles, tokenize
+from sparkgrid.llm.tokenize import Encoder, Words
 
 FILE = path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(FILE)
@@ -27,6 +27,46 @@ def test_words_encoded_alone_give_the_text_s_ids(text):
     assert [i for w in words.split(text) for i in words.encode(w)] == library_ids(text)
 
 
+ODD = st.text(max_size=40) | st.text("ab '.s\n\t <|endoftext|>1²é", max_size=40) | st.text("'stmdrevlle x\n\x1c\x85!", max_size=40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ODD, max_size=12), st.sampled_from([1, 7, 50, tokenize.CHARS]))
+def test_texts_encoded_together_give_each_text_s_ids(texts, chars):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    before, tokenize.CHARS = tokenize.CHARS, chars
+    try:
+        got = Encoder(FILE).encode_all(texts)
+    finally:
+        tokenize.CHARS = before
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library_ids(t) for t in texts]
+
+
+def test_every_character_is_split_as_the_pattern_does():
+    every = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(f" {c}'s{c}\n{c}1{c}" for c in every[i : i + 50_000]) for i in range(0, len(every), 50_000)]
+    words, marks = tokenize.split_all(texts)
+    at, words = 0, words.to_pylist()
+    for text, end in zip(texts, marks, strict=True):
+        assert words[at:end] == Words(FILE).find(text) and words[end] == "\n"
+        at = end + 1
+    assert at == len(words)
+
+
+def test_frequent_words_are_looked_up_once_in_many_texts():
+    class Counting(Encoder):
+        looked = 0
+
+        def __getitem__(self, word):
+            Counting.looked += 1
+            return super().__getitem__(word)
+
+    texts = [f"The same few words and it's number {i % 10}\n" for i in range(2000)]
+    coder = Counting(FILE)
+    assert coder.encode_all(texts) == [np.array(library_ids(t), "<u2").tobytes() for t in texts]
+    assert Counting.looked < 100
+
+
 def test_token_files_round_trip(spark, edges):
     folder = tokenfiles.new_folder(spark)
     manifest = tokenfiles.write_tokens(edges, FILE, folder)
