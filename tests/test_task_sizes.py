@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkgrid import core, fixtures as fx
+from sparkgrid import catalog, core, fixtures as fx
 from sparkgrid.operators import relate, shape
 from sparkgrid.sources.cells import densify, read_cells, write_cells
 from tests.conftest import SCHEMA
@@ -88,3 +88,18 @@ def test_block_means_start_from_dealt_rows(spark, monkeypatch):
     cells = fx.table(spark, SF, "lineitem").groupBy("l_suppkey", "l_shipdate").count().count()
     assert fx.cells_li(spark, SF).count() == cells
     assert means.select("y", "x").distinct().count() == means.count()
+
+
+def test_block_means_are_grouped_in_counted_tasks(spark, monkeypatch):
+    """The exchange of the means must not depend on the session's shuffle partitions."""
+    monkeypatch.setattr(core, "TASK_ROWS", 500)
+    catalog.load()
+    means = catalog.QUERIES["a21_block_mean"](spark, SF)
+    tasks = -(-fx.table(spark, SF, "lineitem").count() // 500)
+    assert dealt_to(means) == [tasks, tasks]
+    assert body(means).count("Exchange") == 2
+    rows = [(i, 0, c, 0, y, x, float(y * x + c)) for i in "ab" for c in (0, 1) for y in range(9) for x in range(7)]
+    cells = spark.createDataFrame([*rows, ("a", 0, 0, 0, -1, -5, 3.0), ("b", 0, 1, 0, 2, -1, None)], SCHEMA)
+    plain, counted = shape.block_mean(cells, 4), shape.block_mean(cells, 4, len(rows) + 2)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, counted.collect()), key=str)
+    assert "ENSURE_REQUIREMENTS" not in body(counted)
