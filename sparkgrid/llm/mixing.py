@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgrid.core import attach, settle
-from sparkgrid.llm.tables import WORD, text_of
+from sparkgrid.llm.tables import count_words, text_of
 
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
 #: leading hex digits of the order key that name a part of a leaf (4,096 parts)
@@ -114,26 +114,27 @@ def mix_sources(docs: DataFrame, mix: Mix) -> DataFrame:
         domain_of(F.coalesce(docs["source"], none)).alias("mix_domain"),
         F.coalesce(docs["lang"], none).alias("mix_lang"),
         F.coalesce(docs["source"], none).alias("mix_source"),
-        F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("mix_tokens"),
+        count_words(text_of(docs)).alias("mix_tokens"),
     )
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
+    counted = settle(rows.drop("row"))  # words are counted once for both sums below
+    leaves = counted.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))
     plan = settle(leaf_budgets(settle(leaves), mix).select(
         *LEVELS, whole.alias("mix_whole"), (F.col("budget") - whole * F.col("tokens")).alias("mix_rest"),
     ))
 
-    def ordered(leaf_table: DataFrame) -> DataFrame:
+    def ordered(rows: DataFrame, leaf_table: DataFrame) -> DataFrame:
         """Rows with their place in the leaf's last, partly read epoch."""
         order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("mix_whole").cast("string"), F.col("mix_key")).cast("binary"))
         placed = attach(rows, leaf_table, LEVELS, settled=True).withColumn("mix_order", order)
         return placed.withColumn("mix_part", F.substring("mix_order", 1, PART_DIGITS))
 
-    parts = ordered(plan).groupBy(*LEVELS, "mix_part", "mix_rest").agg(F.sum("mix_tokens").alias("size"))
+    parts = ordered(counted, plan).groupBy(*LEVELS, "mix_part", "mix_rest").agg(F.sum("mix_tokens").alias("size"))
     upto = Window.partitionBy(*LEVELS).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, 0)
     ends = parts.withColumn("total", F.sum("size").over(upto)).filter(F.col("total") > F.col("mix_rest")).groupBy(*LEVELS).agg(
         F.min("mix_part").alias("mix_end"), F.min(F.col("total")).alias("_total"), F.min_by("size", "mix_part").alias("_size"),
     ).select(*LEVELS, "mix_end", (F.col("_total") - F.col("_size")).alias("mix_before"))
-    placed = ordered(settle(plan.join(ends, LEVELS, "left")))
+    placed = ordered(rows, settle(plan.join(ends, LEVELS, "left")))
 
     last = F.coalesce(F.col("mix_end"), F.lit("g"))  # a leaf without an end has no tokens, or all parts fit
     inside = Window.partitionBy(*LEVELS, "mix_part").orderBy("mix_order", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)

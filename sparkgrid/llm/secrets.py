@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrid.core import settle
-from sparkgrid.llm.tables import text_of
+from sparkgrid.llm.tables import pieces, text_of, texts_of
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: strings one position of a pattern may spell before it counts as open
@@ -123,7 +123,7 @@ def postings(docs: DataFrame, vocabulary: list[int] | None = None) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             found = []
-            for text in batch.column("text").to_pylist():
+            for text in (t for part in pieces(batch) for t in part.column("text").to_pylist()):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(LOWER), dtype=np.uint8).astype(np.int32)
                 codes = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:] if len(raw) > 2 else raw[:0]
                 found.append(np.unique(codes if wanted is None else codes[wanted[codes]]))
@@ -176,11 +176,11 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str], mark: str | None = None) -> DataFrame:
-    """``row`` (a struct of the ``carry`` columns), ``text`` and ``spans`` of every row.
+    """``row`` (a struct of the ``carry`` columns), ``text`` and ``spans`` of every row; a carried text is sent once.
 
     A rule's spans are its leftmost non-overlapping matches in the whole text
     (code points, end exclusive), by start and then rule order.  With ``mark``
-    the text returned has it in place of the spans.  Rules with
+    the text returned has it in place of the spans, and is null without any.  Rules with
     mandatory trigrams run on the documents the index names, others on all.
 
     A null text is empty and has no spans.  Rows without doc_id are verified
@@ -190,18 +190,17 @@ def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str], mark: str |
     spark = docs.sparkSession
     found = settle(candidates(spark, docs, rules))  # its size then decides how it is joined
     open_rules = {r.kind for r in rules if not trigram_query(r.pattern)}
-    rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("_id"),
-    )
-    rows = rows.join(found, F.col("_id") == F.col("doc_id"), "left").select("row", "text", "kinds", F.col("_id").isNull().alias("anonymous"))
-    schema = rows.select("row", "text", F.lit(None).cast(SPANS).alias("spans")).schema
+    own = [] if "text" in carry else [text_of(docs).alias("text")]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), *own, docs["doc_id"].cast("long").alias("_id"))
+    rows = rows.join(found, F.col("_id") == F.col("doc_id"), "left").drop("doc_id").withColumn("anonymous", F.col("_id").isNull()).drop("_id")
+    schema = rows.select("row", F.lit(None).cast("string").alias("text"), F.lit(None).cast(SPANS).alias("spans")).schema
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern) for r in rules]
         kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces(whole)):
             spans, shown = [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "kinds", "anonymous"))
+            columns = (texts_of(batch), *(batch.column(c).to_pylist() for c in ("kinds", "anonymous")))
             for text, kinds, anonymous in zip(*columns, strict=True):
                 own = [
                     (start, i, end) for i, rule in enumerate(rules)
@@ -209,7 +208,7 @@ def scan_rows(docs: DataFrame, rules: list[Rule], carry: list[str], mark: str |
                     for start, end in matches(rule, compiled[i], text)
                 ]
                 spans.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(own)])
-                shown.append(text if mark is None else replaced(text, [(s, e) for s, _, e in sorted(own)], mark))
+                shown.append(text if mark is None else replaced(text, [(s, e) for s, _, e in sorted(own)], mark) if own else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shown, pa.string()), pa.array(spans, kind_of)], names=["row", "text", "spans"])
 
     return rows.mapInArrow(verify, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkgrid.core import attach, settle
 from sparkgrid.llm.groups import cells_of, components, forest, map_runs
-from sparkgrid.llm.tables import text_of
+from sparkgrid.llm.tables import pieces, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -45,7 +45,7 @@ def fingerprint(text: str) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed 64-bit integer."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces(whole)):
             found = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

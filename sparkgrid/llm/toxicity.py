@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.tables import text_of
+from sparkgrid.llm.tables import pieces, text_of, texts_of
 
 DECAY = 0.6
 SPAN = 6
@@ -204,7 +204,6 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, negatives:
     answers the base rate.
     """
     coder = Coder()
-    bags = [set(w.lower() for w in coder.words(t)) for t in texts]
     y = np.array(labels, dtype=int)
     rate = float(np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3))
     dull = Model(np.zeros(CODES**3, np.float32), -1.0, (0.0, 0.0, float(np.log(rate / (1 - rate)))))
@@ -215,9 +214,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, negatives:
         return dull
     toxic: Counter = Counter()
     clean: Counter = Counter()
-    for bag, label, used in zip(bags, y, fit, strict=True):
+    for text, label, used in zip(texts, y, fit, strict=True):
         if used:
-            (toxic if label else clean).update(bag)
+            (toxic if label else clean).update({w.lower() for w in coder.words(text)})
     only = {w: n for w, n in toxic.items() if w not in clean and len(w) > 2}
     least = telling(toxic + clean, float(y[fit].mean()))
     seeds = by_count({w: n for w, n in only.items() if n >= least})
@@ -239,8 +238,10 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, negatives:
         target = np.r_[np.ones(len(seeds)), np.zeros(len(negative))]
         weight = np.r_[[toxic[v] for v in seeds], np.full(len(negative), sum(toxic[v] for v in seeds) / len(negative))]
         w = descend(kernel @ whiten, target, weight, hinge=True, ridge=1e-5, steps=800)
-        folded = basis.T @ (whiten @ w[:-1])
-        folded[0] = 0
+        share = whiten @ w[:-1]
+        # in parts, as NumPy makes a copy in 64 bits; and the basis goes before the next round has its own
+        folded = np.concatenate([basis[:, i : i + CODES**2].T @ share for i in range(0, CODES**3, CODES**2)])
+        folded[0], basis = 0, None
         model = Model(folded.astype(np.float32), float(w[-1]), dull.calibration)
         names = by_count(only)
         margins = dict(zip(names, model.margins(coder, names), strict=True))
@@ -293,16 +294,17 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_rows(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """``row``, a struct of the ``carry`` columns, and ``score``."""
+    """``row``, a struct of the ``carry`` columns, and ``score``; a carried text is sent once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one bounded weight table
     kept = [docs[f"`{c}`"] for c in carry]
-    rows = docs.select(F.struct(*kept).alias("row"), text_of(docs).alias("text"))
+    own = [] if "text" in carry else [text_of(docs).alias("text")]
+    rows = docs.select(F.struct(*kept).alias("row"), *own)
     schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, found = Coder(), shared.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in (b for whole in batches for b in pieces(whole)):
+            texts = texts_of(batch)
             scores = np.concatenate([found.scores(coder, texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], names=["row", "score"])
 

@@ -1,5 +1,10 @@
+import random
+import tracemalloc
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sparkgrid.llm import bpe, mixing, secrets, simhash, toxicity
+from sparkgrid.llm import bpe, mixing, secrets, simhash, tables, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +46,68 @@ def test_run_equals_stage_by_stage(spark):
     mixed = mixing.mix_sources(spark.createDataFrame(rows), corpus_pipeline.MIX).select("row.*")
     want = bpe.digests(bpe.decode_documents(bpe.encode_documents(mixed, corpus_pipeline.TOKENIZER), corpus_pipeline.TOKENIZER))
     assert got == sorted(tuple(r) for r in want.collect())
+
+
+def inputs_of_python(frame):
+    """Column names that the tasks of a mapInArrow get."""
+    node, names = frame._jdf.queryExecution().optimizedPlan(), []
+    while True:
+        if node.nodeName() == "MapInArrow":
+            names = [node.child().output().apply(i).name() for i in range(node.child().output().length())]
+        if node.children().length() != 1:
+            return names
+        node = node.children().head()
+
+
+def test_a_carried_text_is_sent_to_python_once(edges, nothing):
+    model = toxicity.train([], [])
+    assert inputs_of_python(toxicity.keep_clean(edges, model)) == ["row"]
+    assert inputs_of_python(toxicity.score_documents(edges, model)) == ["row", "text"]
+    assert sorted(inputs_of_python(secrets.redact(edges))) == ["anonymous", "kinds", "row"]
+    assert "text" in inputs_of_python(secrets.scan(edges))
+    shown = secrets.scan_rows(edges, secrets.RULES, edges.columns, "[secret]").select("row.text", F.col("text").alias("new"), "spans").collect()
+    assert all((r.new is None) == (not r.spans) for r in shown) and any(r.spans for r in shown)
+
+
+def test_training_holds_one_basis():
+    """Of float32, subsequences x landmarks: no second one, no copy in 64 bits."""
+    texts = [f"plain words of text {i} on a river bank number{i % 50}" + " grumbold wackerdoo" * (i % 4 == 0) for i in range(400)]
+    tracemalloc.start()
+    toxicity.train(texts, [int(i % 4 == 0) for i in range(400)], landmarks=160)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spots = max(len(words) for words in seen_spots(texts))
+    assert peak < 1.5 * spots * toxicity.CODES**3 * 4
+
+
+def seen_spots(texts):
+    """The landmark words of every round of a training."""
+    seen, explicit = [], toxicity.explicit
+
+    def watched(coder, words):
+        seen.append(words)
+        return explicit(coder, words)
+
+    toxicity.explicit = watched
+    try:
+        toxicity.train(texts, [int(i % 4 == 0) for i in range(len(texts))], landmarks=160)
+    finally:
+        toxicity.explicit = explicit
+    return seen
+
+
+def test_words_are_counted_as_before_and_once(spark, edges, monkeypatch):
+    alphabet = "ab \t\n\x0b\x0c\r\x1f\x85 é𝄞$.\\"
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 12))) for _ in range(3000)]
+    odd = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert odd.filter(F.regexp_count("text", F.lit(tables.WORD)) != tables.count_words(F.col("text"))).count() == 0
+    plans, settle = [], mixing.settle
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return settle(frame)
+
+    monkeypatch.setattr(mixing, "settle", watched)
+    mixing.mix_sources(edges, corpus_pipeline.MIX)
+    assert sum("regexp_replace(" in p or "regexp_extract_all(" in p for p in plans) == 1
