@@ -139,6 +139,11 @@ def postings(docs: DataFrame, vocabulary: list[int] | None = None) -> DataFrame:
     return rows.mapInArrow(index, "trigram int, docs array<long>")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table handed over as Arrow: a list of tuples would pass through Python workers of its own, which stay."""
+    return spark.createDataFrame(pa.table(list(map(list, zip(*rows, strict=True))), names=[c.split()[0] for c in schema.split(", ")]), schema)
+
+
 def candidates(spark: SparkSession, docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, kinds): the rules whose trigram query the document satisfies.
 
@@ -155,8 +160,8 @@ def candidates(spark: SparkSession, docs: DataFrame, rules: list[Rule]) -> DataF
                 terms += [(rule.kind, c, i, len(grams), code(g)) for g in sorted(grams)]
     if not terms:
         return spark.createDataFrame([], "doc_id long, kinds array<string>")
-    query = spark.createDataFrame(terms, "kind string, clause int, choice int, grams int, trigram int")
-    clauses = spark.createDataFrame(needs, "kind string, clauses int")
+    query = local_table(spark, terms, "kind string, clause int, choice int, grams int, trigram int")
+    clauses = local_table(spark, needs, "kind string, clauses int")
     index = postings(docs, sorted({t[-1] for t in terms}))
     marked = index.join(F.broadcast(query), "trigram").select("kind", "clause", "choice", "grams", "trigram", F.explode("docs").alias("doc_id"))
     choices = marked.groupBy("doc_id", "kind", "clause", "choice", "grams").agg(F.count_distinct("trigram").alias("n")).filter("n = grams")

@@ -111,3 +111,10 @@ def test_words_are_counted_as_before_and_once(spark, edges, monkeypatch):
     monkeypatch.setattr(mixing, "settle", watched)
     mixing.mix_sources(edges, corpus_pipeline.MIX)
     assert sum("regexp_replace(" in p or "regexp_extract_all(" in p for p in plans) == 1
+
+
+def test_tables_of_rules_take_no_python_workers(spark, edges):
+    table = secrets.local_table(spark, [("a", 1), ("b", 2)], "kind string, n int")
+    assert sorted(map(tuple, table.collect())) == [("a", 1), ("b", 2)] and table.schema.simpleString() == "struct<kind:string,n:int>"
+    plan = secrets.candidates(spark, edges, secrets.RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") == 2 and "LogicalRDD" not in plan.replace("LogicalRDD [doc_id", "")
