@@ -204,6 +204,17 @@ def test_benchmark_reports_each_method(spark, to_cells):
     assert row["label"] == "rl_1i" and row["channels_compared"] == 1 and row["time_s"] > 0
 
 
+def test_benchmark_raises_the_error_of_a_failing_method(spark, to_cells, monkeypatch):
+    """The table lacked the method's row and looked whole."""
+    def fails(cells, taps, **params):
+        raise ArithmeticError("no update")
+
+    monkeypatch.setitem(batch.METHODS, "rl_tv", (fails, set(), 8))
+    with pytest.raises(ArithmeticError) as caught:
+        batch.benchmark_methods(spark, to_cells(a=blurred((6, 6))), K, niter=1, methods=["rl", "rl_tv"], quality=False, track=False)
+    assert "rl_tv" in caught.value.__notes__[0]
+
+
 def test_sparse_updates_leave_no_copies_behind(to_cells, monkeypatch):
     """Both full-size tables of an update go once the next state is saved."""
     written, removed = [], []
