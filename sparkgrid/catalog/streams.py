@@ -7,7 +7,7 @@ from sparkgrid.catalog import query
 from sparkgrid.catalog.kernels import K35
 from sparkgrid.catalog.restoration import rl_sql, taps_block
 from sparkgrid.catalog.sources import shared_folder
-from sparkgrid.core import extents, rnd, settle
+from sparkgrid.core import CELL, TASK_ROWS, extents, rnd, settle
 from sparkgrid.fixtures import with_sql
 from sparkgrid.streaming import restoration as sr, telemetry as tm
 
@@ -56,7 +56,7 @@ def _t4(spark, sf):
     frames = fx.cells_t(spark, sf)
     frames.write.mode("overwrite").parquet(src)
     live = spark.readStream.schema(frames.schema).parquet(src)
-    r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, niter=2))
+    r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, shared=True, niter=2))
     return r.select(F.concat_ws("#", "img", F.col("t").cast("string")).alias("img"), "c", "z", "y", "x", rnd("v").alias("v"))
 
 
@@ -64,10 +64,11 @@ def _t4(spark, sf):
 def _t4_pieces(spark, sf):
     """Every channel comes in pieces over three triggers and is solved once it is whole."""
     src = shared_folder(spark)
-    frames = fx.cells_t(spark, sf)
+    frames = settle(fx.cells_t(spark, sf))
     sizes = settle(extents(frames, ["img", "t"]))
+    files = -(-frames.count() // (3 * TASK_ROWS)) or 1
     for piece in range(3):
-        frames.filter((F.col("y") + F.col("x")) % 3 == piece).coalesce(1).write.mode("append").parquet(src)
-    live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, sizes, niter=2))
+        frames.filter((F.col("y") + F.col("x")) % 3 == piece).repartition(files, *CELL).write.mode("append").parquet(src)
+    live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files).parquet(src)
+    r = _drain(spark, lambda o, c: sr.restore_stream(live, taps_block(K35), o, c, sizes, shared=True, niter=2))
     return r.select(F.concat_ws("#", "img", F.col("t").cast("string")).alias("img"), "c", "z", "y", "x", rnd("v").alias("v"))

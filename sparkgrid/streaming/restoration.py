@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkgrid.core import AXES, CELL, KEYS, attach, discard, write_aside
 from sparkgrid.plans.tiled import restore_tiled
-from sparkgrid.sources.cells import gathered
+from sparkgrid.sources.cells import gathered, write_cells
 
 HELD = "img string, t int, c int, z int, y int, x int, v double, trigger long"
 
@@ -34,10 +34,15 @@ def split_whole(cells: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def restore_stream(
-    frames: DataFrame, kernel: np.ndarray, path: str, checkpoint: str, sizes: DataFrame | None = None, **options
+    frames: DataFrame, kernel: np.ndarray, path: str, checkpoint: str, sizes: DataFrame | None = None, shared: bool = False, **options
 ) -> StreamingQuery:
     """Solve every arriving channel of a frame and write it to a partition of its own.
 
+    A partition is a folder and a file, so many small images are best written
+    ``shared``: images share the files of a time point and channel, as
+    :func:`write_cells` has them, and a channel that comes again still replaces
+    its cells.  A path keeps the layout it was begun with.
+
     Without ``sizes`` a frame may arrive over several triggers, a channel of it
     in one.  With ``sizes`` (nz, ny, nx by any of img, t and c) a channel may
     come in pieces: its cells are held until all are there, then it is solved
@@ -52,6 +57,10 @@ def restore_stream(
     """
     def solve(cells: DataFrame) -> None:
         out = restore_tiled(cells, kernel, **options).cells
+        check_layout(out.sparkSession, path, "c=" if shared else "img=")
+        if shared:
+            write_cells(out, path, level=False)
+            return
         gathered(out, ["t", "img", "c"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t", "img", "c").parquet(path)
 
     def put(batch: DataFrame, _: int) -> None:
@@ -81,6 +90,17 @@ def restore_stream(
     )
 
 
+def check_layout(spark: SparkSession, path: str, below: str) -> None:
+    """Refuse a path whose time points hold other folders than those named ``below...``: mixed layouts cannot be read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    times = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "t=*")) if files.exists(folder) else []
+    for time in times[:1]:
+        held = files.listStatusIterator(time.getPath())
+        if held.hasNext() and not held.next().getPath().getName().startswith(below):
+            raise ValueError(f"{path} was begun in the other layout; `shared` must stay as it was")
+
+
 def inside(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Cells inside the size of their channel, and those of channels without one."""
     by = [k for k in KEYS if k in sizes.columns]

@@ -191,3 +191,42 @@ def test_a_streamed_channel_is_one_file(spark, to_cells, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list(out.rglob("*.parquet"))) == 12 and spark.read.parquet(str(out)).count() == 12 * 36
+
+
+def test_streamed_channels_can_share_files(spark, to_cells, tmp_path):
+    """A folder, a file and a rename for every small channel took most of the time; cells that come again replace the old ones."""
+    from sparkgrid.catalog.restoration import taps_block
+    from sparkgrid.streaming.restoration import restore_stream
+
+    cells = to_cells(**{f"i{k}": np.random.default_rng(k).random((6, 6)) * 9 + 1 for k in range(12)})
+    src, own, shared = str(tmp_path / "src"), tmp_path / "own", tmp_path / "shared"
+    cells.write.parquet(src)
+
+    def run(out, checkpoint, **options):
+        live = spark.readStream.schema(cells.schema).parquet(src)
+        restore_stream(live, taps_block(K35), str(out), str(tmp_path / checkpoint), niter=1, **options).awaitTermination()
+
+    run(own, "c1")
+    run(shared, "c2", shared=True)
+    run(shared, "c3", shared=True)  # a new checkpoint repeats the batch
+    assert len(list(shared.rglob("*.parquet"))) < 12
+    both = [sorted(tuple(r) for r in spark.read.parquet(str(p)).select("img", "t", "c", "y", "x", "v").collect()) for p in (own, shared)]
+    assert len(both[0]) == 12 * 36 and both[0] == both[1]
+    for out, options in ((own, {"shared": True}), (shared, {})):
+        with pytest.raises(Exception, match="other layout"):
+            run(out, f"c-{out.name}", **options)
+
+
+def test_pieces_of_a_stream_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """One task wrote a third of all cells for every trigger; there are still three triggers."""
+    from pathlib import Path
+
+    from sparkgrid.catalog import streams
+
+    folders = []
+    make = streams.shared_folder
+    monkeypatch.setattr(streams, "shared_folder", lambda s: folders.append(make(s)) or folders[-1])
+    monkeypatch.setattr(streams, "TASK_ROWS", 1000)
+    rows = streams._t4_pieces(spark, "/root/testdata/sf0.01").count()
+    assert rows == 10800 and len(list(Path(folders[0]).glob("*.parquet"))) == 3 * 4
+    assert {f.name for f in Path(folders[2] + "-held").iterdir()} == {"1", "2"}
