@@ -78,6 +78,17 @@ def test_components_of_a_star_and_a_chain(spark):
     assert groups.components(star.limit(0)).count() == 0
 
 
+def test_stars_are_seen_without_another_step(spark, monkeypatch):
+    """A whole step ran, and a digest of all edges, to see that nothing changed."""
+    from sparkgrid.llm import groups
+
+    written, write = [], groups.write_aside
+    monkeypatch.setattr(groups, "write_aside", lambda df: written.append(0) or write(df))
+    links = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 30), (30, 20), (5, 5)], "a long, b long")
+    assert sorted(groups.components(links).collect()) == [(i, 1) for i in range(2, 9)] + [(30, 20)]
+    assert len(written) == 2
+
+
 def test_hot_buckets_are_compared_whole(spark):
     rows = spark.range(300).select(F.lit(1).cast("long").alias("key"), "id")
     cells = groups.cells_of(rows, "key", "id", 64).collect()
